@@ -72,7 +72,8 @@ def p5_found(spark, d):
 
 
 def p5_summary(spark, d):
-    return heavy.skewed_summary(table(spark, d, "graph_edges"), ["target", "rel_type"], "source", "loaded_at")
+    found = heavy.skewed_summary(table(spark, d, "graph_edges"), ["target", "rel_type"], "source", "loaded_at")
+    return found.select("target", "rel_type", "n_rows", "n_distinct", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_report, p4_found, p4_trusts, p5_found, p5_summary)}
@@ -102,5 +103,5 @@ ORACLE = {
     "p3_found": f"WITH {_REFS} SELECT edge_id, endpoint, kind FROM o",
     "p3_report": f"WITH {_REFS} SELECT 'graph_edges' AS table_name, endpoint, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n_orphans FROM o GROUP BY ALL",
     "p5_found": "SELECT target, rel_type FROM graph_edges WHERE target IS NOT NULL AND rel_type IS NOT NULL GROUP BY target, rel_type HAVING count(*) >= 0.015 * (SELECT count(*) FROM graph_edges)",
-    "p5_summary": "SELECT target, rel_type, count(*) AS n_rows, count(DISTINCT source) AS n_distinct, min(loaded_at) AS first_at, max(loaded_at) AS last_at FROM graph_edges GROUP BY target, rel_type",
+    "p5_summary": "SELECT target, rel_type, count(*) AS n_rows, count(DISTINCT source) AS n_distinct, epoch_us(min(loaded_at)) AS first_us, epoch_us(max(loaded_at)) AS last_us FROM graph_edges GROUP BY target, rel_type",
 }

@@ -1 +1 @@
-"""graphloom.sources"""
+"""Graphs from tables."""
