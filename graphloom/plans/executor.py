@@ -20,7 +20,7 @@ from graphloom.cypher.ast import QueryError
 from graphloom.cypher.parser import has_aggregate, is_aggregate
 from graphloom.model import Graph, RelTable, may_have, union_tables
 from graphloom.operators.traverse import bfs
-from graphloom.plans.expressions import Compiler, Val, equal, kind_of, property_key, with_col
+from graphloom.plans.expressions import Compiler, Val, kind_of, property_key, raw_equal, with_col
 
 _AGG = "\0agg"
 
@@ -96,6 +96,14 @@ def free_vars(e: Any, inner: frozenset[str] = frozenset()) -> set[str]:
     return set()
 
 
+def fixed_props(props: tuple) -> tuple:
+    return tuple((n, e) for n, e in props if not free_vars(e))
+
+
+def other_props(props: tuple) -> tuple:
+    return tuple((n, e) for n, e in props if free_vars(e))
+
+
 def pattern_vars(path: A.PathPat) -> list[str]:
     return [p.var for p in path.parts if p.var] + ([path.var] if path.var else [])
 
@@ -178,15 +186,16 @@ class Executor:
         return df.select(*out), Bound(kind, {k: f"`{v}`" for k, v in cols.items()}, kinds)
 
     def scan(self, node: A.NodePat, among: set | None = None) -> tuple[DataFrame, Bound]:
+        """The nodes of a pattern; properties that depend on other variables are left to ``_with_props``."""
         df, bound = self._bind(self.graph.node_frame(node.labels, among), "node", node.var or "node")
-        return self._with_props(df, bound, node.props, State()), bound
+        return self._with_props(df, bound, fixed_props(node.props), State()), bound
 
     def _with_props(self, df: DataFrame, bound: Bound, props: tuple, state: State) -> DataFrame:
         compiler = Compiler(state.vals(), self.params)
         for name, e in props:
             key = property_key(name)
             mine = with_col(bound.val().get(key), bound.kinds[key]) if key in bound.kinds else Val(F.lit(None), "null")
-            df = df.where(equal(mine, compiler.compile(e)))
+            df = df.where(raw_equal(mine, compiler.compile(e)))
         return df
 
     # --- matching
@@ -218,7 +227,7 @@ class Executor:
             keys, on = self._exists_keys(state, e.args[0] if negated else e)
             return replace(state, df=state.df.join(keys, on, "left_anti" if negated else "left_semi"))
         df, exists, extra = self._flags(state, e)
-        df = df.where(Compiler(state.vals(), self.params, exists).condition(e))
+        df = df.where(Compiler(state.vals(), self.params, exists).filter(e))
         return replace(state, df=df.drop(*extra))
 
     def _exists_keys(self, state: State, e: A.Exists) -> tuple[DataFrame, Column]:
@@ -259,6 +268,7 @@ class Executor:
                 among = self._ends(neighbour, at + 1 >= len(parts))
             df, bound = self.scan(parts[at], among)
             state = State(df if state.df is None else state.df.crossJoin(df), dict(state.scope))
+            state = replace(state, df=self._with_props(state.df, bound, other_props(parts[at].props), state))
         else:
             bound = self._node_of(state, parts[at].var)
             state = self._check_node(state, bound, parts[at])
@@ -331,10 +341,13 @@ class Executor:
         direction = {"out": "in", "in": "out"}.get(rel.direction, "both") if backwards else rel.direction
         edges, tables, ends = self._oriented(rel, direction, near, far)
         edges, bound = self._bind(edges, "rel", rel.var or "rel")
-        edges = self._with_props(edges, bound, rel.props, state)
+        edges = self._with_props(edges, bound, fixed_props(rel.props), State())
         if rel.hops is not None or path.shortest:
+            if other_props(rel.props):
+                raise QueryError("properties of a variable-length relationship must be constants")
             return self._traverse(state, near, rel, far, edges, bound, backwards, path, live, ends, tables)
         df = state.df.join(edges, F.col(near.cols["id"]) == F.col(bound.cols["src"]))
+        df = self._with_props(df, bound, other_props(rel.props), state)
         if rel.var and rel.var in state.scope:
             df = df.where(F.col(bound.cols["id"]) == F.col(state.scope[rel.var].cols["id"]))
         mine = {t.type for t in tables} if all(t.type for t in tables) else None
@@ -363,6 +376,7 @@ class Executor:
         else:
             nodes, bound = self.scan(far, ends)
             df = state.df.join(nodes, ident == F.col(bound.cols["id"]))
+            df = self._with_props(df, bound, other_props(far.props), state)
         state = State(df, dict(state.scope))
         if far.var:
             state.scope[far.var] = bound
@@ -411,6 +425,9 @@ class Executor:
         def shape(get, have) -> Column:
             return F.struct(*((get(k) if k in have else F.lit(None)).cast(spark_type.get(v.kind, "string")).alias(k) if not alone else get(k).alias(k) for k, v in kinds.items()))
 
+        def over(elem: Val):
+            return lambda r: shape(lambda k: r[k], elem.props)
+
         one = lambda b: F.struct(F.col(b.cols["id"]).alias("id"))
         node_parts, rel_parts = [F.array(one(nodes[0]))], []
         for s, end in zip(steps, nodes[1:], strict=True):
@@ -419,7 +436,7 @@ class Executor:
                 node_parts.append(F.array(one(end)))
             else:
                 mark, elem = s
-                rel_parts.append(F.transform(f"{mark}_rels", lambda r, e=elem: shape(lambda k: r[k], e.props)))
+                rel_parts.append(F.transform(f"{mark}_rels", over(elem)))
                 node_parts.append(F.transform(F.slice(F.col(f"{mark}_nodes"), 2, F.size(f"{mark}_nodes") - 1), lambda n: F.struct(n.alias("id"))))
         whole = F.struct(F.concat(*node_parts).alias("nodes"), (F.concat(*rel_parts) if rel_parts else F.array()).alias("relationships"))
         col = self.fresh(name)

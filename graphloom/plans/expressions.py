@@ -16,6 +16,7 @@ from graphloom.cypher import ast as A
 from graphloom.cypher.ast import QueryError
 
 _EPSILON = 2.220446049250313e-16
+_TEXT_TESTS = {"starts": F.startswith, "ends": F.endswith, "contains": F.contains}
 _ORDER = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
@@ -79,26 +80,35 @@ def _number(v: Val) -> bool:
     return v.kind in ("int", "float")
 
 
-def equal(a: Val, b: Val) -> Column:
+def raw_equal(a: Val, b: Val) -> Column:
+    """True where equal, else false or null: for filters, where it can be a join key or go down to the scan."""
     if a.kind in ("node", "rel") and b.kind == a.kind:
-        return two_valued(a.ident == b.ident)
+        return a.ident == b.ident
     if "null" in (a.kind, b.kind):
         return F.lit(False)
     if _number(a) and _number(b):
-        return two_valued(a.col == b.col if a.kind == b.kind == "int" else (F.abs(a.col - b.col) < F.lit(_EPSILON)) | (a.col == b.col))
-    return two_valued(a.col == b.col) if a.kind == b.kind else F.lit(False)
+        return a.col == b.col if a.kind == b.kind == "int" else (F.abs(a.col - b.col) < F.lit(_EPSILON)) | (a.col == b.col)
+    return a.col == b.col if a.kind == b.kind else F.lit(False)
 
 
-def compare(op: str, a: Val, b: Val) -> Column:
+def equal(a: Val, b: Val) -> Column:
+    return two_valued(raw_equal(a, b))
+
+
+def raw_compare(op: str, a: Val, b: Val) -> Column:
     if op == "=":
-        return equal(a, b)
+        return raw_equal(a, b)
     if op == "<>":
         return ~equal(a, b)
     if _number(a) and _number(b) or a.kind == b.kind and a.kind in ("str", "ts"):
-        return two_valued(_ORDER[op](a.col, b.col))
+        return _ORDER[op](a.col, b.col)
     return F.lit(False)
 
 
+def compare(op: str, a: Val, b: Val) -> Column:
+    return two_valued(raw_compare(op, a, b))
+
+
 def _merge_kinds(values: list[Val]) -> Val:
     some = [v for v in values if v.kind != "null"]
     if not some:
@@ -134,6 +144,21 @@ class Compiler:
             raise QueryError("a condition must be a boolean")
         return F.lit(False) if v.kind == "null" else two_valued(v.col)
 
+    def filter(self, e: Any) -> Column:
+        """A condition for a filter: as ``condition``, but null may stand for false where that lets Spark push it down."""
+        if isinstance(e, A.Op) and e.op == "and":
+            return self.filter(e.args[0]) & self.filter(e.args[1])
+        if isinstance(e, A.Op) and e.op in ("=", "<", "<=", ">", ">="):
+            return raw_compare(e.op, *map(self.compile, e.args))
+        if isinstance(e, A.Op) and e.op in _TEXT_TESTS:
+            a, b = map(self.compile, e.args)
+            return _TEXT_TESTS[e.op](a.col, b.col) if a.kind == b.kind == "str" else F.lit(False)
+        if isinstance(e, A.Op) and e.op == "in" and isinstance(e.args[1], A.ListOf) and all(isinstance(x, A.Lit) for x in e.args[1].items):
+            a, items = self.compile(e.args[0]), [self._constant(x.value) for x in e.args[1].items]
+            some = [v.col for v in items if v.kind == a.kind or _number(v) and _number(a)]
+            return a.col.isin(*some) if some and a.kind != "null" else F.lit(False)
+        return self.condition(e)
+
     def compile(self, e: Any) -> Val:
         return getattr(self, "on_" + type(e).__name__.lower())(e)
 
@@ -271,8 +296,7 @@ class Compiler:
         if op in ("starts", "ends", "contains"):
             if not all(v.kind == "str" for v in args):
                 return Val(F.lit(False), "bool")
-            f = {"starts": F.startswith, "ends": F.endswith, "contains": F.contains}[op]
-            return Val(two_valued(f(a.col, args[1].col)), "bool")
+            return Val(two_valued(_TEXT_TESTS[op](a.col, args[1].col)), "bool")
         if op == "=~":
             if not all(v.kind == "str" for v in args):
                 return Val(F.lit(False), "bool")
