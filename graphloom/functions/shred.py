@@ -102,36 +102,49 @@ class Column:
         return out
 
 
-def array_items(column: Column, owner: pa.Array, pos: pa.Array | None, path: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """All array elements below a column, level by level, as (path, outer path, items, owner, item_pos, outer_pos).
+class Level:
+    """The elements of all arrays at one path: ``items`` (objects or not), and for each its owner row, item_pos, the
+    outer element's position, and the row of that element in ``outer_items`` (all None directly below the owner)."""
 
-    ``owner`` and ``pos`` stand for the column's rows; they go down by take over the lists' parent indices.
-    ``items`` is the Column of the elements of all arrays at the path (objects or not)."""
-    yield from _walk(column, owner, pos, path, ())
+    __slots__ = ("item_pos", "items", "outer", "outer_items", "outer_pos", "outer_row", "owner", "path")
 
+    def __init__(self, path, outer, items, owner, item_pos, outer_pos, outer_items, outer_row):
+        self.path, self.outer, self.items, self.owner = path, outer, items, owner
+        self.item_pos, self.outer_pos, self.outer_items, self.outer_row = item_pos, outer_pos, outer_items, outer_row
 
-def _walk(column: Column, owner, pos, path, outer):
+
+def array_items(column: Column, owner: pa.Array, path: tuple[str, ...] = ()) -> Iterator[Level]:
+    """All array elements below a column, level by level, outer levels first.
+
+    ``owner`` stands for the column's rows; it goes down by take over the lists' parent indices."""
+    yield from _walk(column, owner, None, path, (), None, None)
+
+
+def _taken(values, *rows):
+    for r in rows:
+        values = None if values is None else values.take(r)
+    return values
+
+
+def _walk(column: Column, owner, pos, path, outer, outer_items, outer_row):
     if column.items is not None:
         rows = pa.array(column.arr_at)
         lists = pa.ListArray.from_arrays(pa.array(column.offsets), pa.nulls(column.items.n))
         parent = pc.list_parent_indices(lists)
         at = parent.to_numpy()
         place = pc.cast(pa.array(np.arange(column.items.n) - column.offsets[at]), pa.string())
-        item_owner = owner.take(rows).take(parent)
-        outer_pos = None if pos is None else pos.take(rows).take(parent)
+        outer_pos = _taken(pos, rows, parent)
         item_pos = place if pos is None else pc.binary_join_element_wise(outer_pos, place, ".")
-        yield path, outer, column.items, item_owner, item_pos, outer_pos
-        yield from _walk(column.items, item_owner, item_pos, path, path)
+        level = Level(path, outer, column.items, _taken(owner, rows, parent), item_pos, outer_pos, outer_items, _taken(outer_row, rows, parent))
+        yield level
+        yield from _walk(column.items, level.owner, item_pos, path, path, column.items, pa.array(np.arange(column.items.n)))
     if column.fields:
         rows = pa.array(column.obj_at)
-        sub_owner, sub_pos = owner.take(rows), None if pos is None else pos.take(rows)
         for name, (at, field) in column.fields.items():
             if field.items is None and not field.fields:
                 continue
-            some = None if at is None else pa.array(at)
-            o = sub_owner if some is None else sub_owner.take(some)
-            p = sub_pos if some is None or sub_pos is None else sub_pos.take(some)
-            yield from _walk(field, o, p, (*path, name), outer)
+            down = (rows,) if at is None else (rows, pa.array(at))
+            yield from _walk(field, _taken(owner, *down), _taken(pos, *down), (*path, name), outer, outer_items, _taken(outer_row, *down))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

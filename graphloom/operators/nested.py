@@ -70,18 +70,26 @@ def _texts(values: list) -> pa.Array:
     return pa.array([shred.scalar_text(v) for v in values], pa.string())
 
 
-def _levels(ids: list, docs: list) -> Iterator[tuple]:
-    entities, file_row, places = _entities(ids, docs)
-    if not len(entities.obj_at):
-        return
-    file_ids, at = pa.array(ids, pa.int64()), pa.array(entities.obj_at)
-    owner_file, owner_pos = file_ids.take(file_row.take(at)), pa.array(places[entities.obj_at], pa.int32())
-    rows = pa.array(np.arange(len(entities.obj_at)))
-    for name, (some, field) in entities.fields.items():
-        if field.items is not None or field.fields:
-            for path, outer, items, owner, item_pos, outer_pos in shred.array_items(field, rows if some is None else rows.take(pa.array(some)), None, (name,)):
-                if len(items.obj_at):
-                    yield ".".join(path), ".".join(outer), items, owner_file, owner_pos, owner, item_pos, outer_pos
+class Entities:
+    """The objects in ``data`` of a batch of documents: their rows, file ids and positions."""
+
+    def __init__(self, ids: list, docs: list):
+        self.column, file_row, places = _entities(ids, docs)
+        at = pa.array(self.column.obj_at)
+        self.document = file_row.take(at) if len(at) else pa.array([], pa.int64())
+        self.file_id = pa.array(ids, pa.int64()).take(self.document)
+        self.pos = pa.array(places[self.column.obj_at], pa.int32())
+
+    def __len__(self) -> int:
+        return len(self.column.obj_at)
+
+    def levels(self) -> Iterator[shred.Level]:
+        rows = pa.array(np.arange(len(self)))
+        for name, (some, field) in self.column.fields.items():
+            if field.items is not None or field.fields:
+                for level in shred.array_items(field, rows if some is None else rows.take(pa.array(some)), (name,)):
+                    if len(level.items.obj_at):
+                        yield level
 
 
 def nested_items(df: DataFrame, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
@@ -90,11 +98,13 @@ def nested_items(df: DataFrame, id_col: str = "file_id", content_col: str = "con
     ``parent_path``/``parent_pos`` name the array element it lies in; both are empty strings for the entity itself."""
 
     def emit(ids, docs):
-        for path, outer, items, owner_file, owner_pos, owner, item_pos, outer_pos in _levels(ids, docs):
-            at = pa.array(items.obj_at)
-            who, n = owner.take(at), len(at)
-            above = pa.array([""]).take(pa.array(np.zeros(n, np.int8))) if outer_pos is None else outer_pos.take(at)
-            columns = [owner_file.take(who), owner_pos.take(who), pa.array([path] * n, pa.string()), item_pos.take(at), pa.array([outer] * n, pa.string()), above]
+        entities = Entities(ids, docs)
+        for level in entities.levels():
+            at = pa.array(level.items.obj_at)
+            who, n = level.owner.take(at), len(at)
+            above = pa.array([""]).take(pa.array(np.zeros(n, np.int8))) if level.outer_pos is None else level.outer_pos.take(at)
+            paths = [pa.array([".".join(p)] * n, pa.string()) for p in (level.path, level.outer)]
+            columns = [entities.file_id.take(who), entities.pos.take(who), paths[0], level.item_pos.take(at), paths[1], above]
             yield pa.RecordBatch.from_arrays(columns, ["file_id", "entity_pos", "array_path", "item_pos", "parent_path", "parent_pos"])
 
     return _map_documents(df, id_col, content_col, "file_id bigint, entity_pos int, array_path string, item_pos string, parent_path string, parent_pos string", emit)
@@ -107,25 +117,62 @@ def child_table(df: DataFrame, array_path: str, fields: list[str], names: list[s
     names = names or [f.replace(".", "_").lower() for f in fields]
 
     def emit(ids, docs):
-        for path, _, items, owner_file, owner_pos, owner, item_pos, _ in _levels(ids, docs):
-            if path == array_path:
-                at = pa.array(items.obj_at)
-                who = owner.take(at)
-                yield pa.RecordBatch.from_arrays([owner_file.take(who), owner_pos.take(who), item_pos.take(at), *(_texts(items.field_values(f)) for f in fields)], ["file_id", "entity_pos", "item_pos", *names])
+        entities = Entities(ids, docs)
+        for level in entities.levels():
+            if ".".join(level.path) == array_path:
+                at = pa.array(level.items.obj_at)
+                who = level.owner.take(at)
+                yield pa.RecordBatch.from_arrays([entities.file_id.take(who), entities.pos.take(who), level.item_pos.take(at), *(_texts(level.items.field_values(f)) for f in fields)], ["file_id", "entity_pos", "item_pos", *names])
 
     return _map_documents(df, id_col, content_col, "file_id bigint, entity_pos int, item_pos string, " + ", ".join(f"`{n}` string" for n in names), emit)
 
 
+def child_rows(df: DataFrame, spec: dict[str, list[str]], entity_fields: list[str], outer_fields: list[str], id_col: str = "file_id", content_col: str = "content") -> DataFrame:
+    """Many kinds of nested array in one pass: array_path ('' for the entity itself), data_type of the file, the entity's
+    fields e0.., the fields o0.. of the array element around it, and the element's own fields f0.. in the spec's order."""
+    width = max(map(len, spec.values()))
+    names = ["array_path", "data_type", *(f"e{i}" for i in range(len(entity_fields))), *(f"o{i}" for i in range(len(outer_fields))), *(f"f{i}" for i in range(width))]
+
+    def emit(ids, docs):
+        entities = Entities(ids, docs)
+        if not len(entities):
+            return
+        metas = [d["meta"] if isinstance(d, dict) and isinstance(d.get("meta"), dict) else {} for d in docs]
+        kinds = pa.array([m["type"].lower() if isinstance(m.get("type"), str) else None for m in metas], pa.string()).take(entities.document)
+        own = [_texts(entities.column.field_values(f)) for f in entity_fields]
+
+        def batch(path, who, outer, fields):
+            n = len(who)
+            blank = [pa.nulls(n, pa.string())] * (width - len(fields))
+            columns = [entities.file_id.take(who), entities.pos.take(who), pa.array([path] * n, pa.string()), kinds.take(who), *(c.take(who) for c in own), *outer, *fields, *blank]
+            return pa.RecordBatch.from_arrays(columns, ["file_id", "entity_pos", *names])
+
+        empty = [pa.nulls(len(entities), pa.string())] * len(outer_fields)
+        yield batch("", pa.array(np.arange(len(entities))), empty, [_texts(entities.column.field_values(f)) for f in spec.get("", [])])
+        for level in entities.levels():
+            path = ".".join(level.path)
+            if path not in spec:
+                continue
+            at = pa.array(level.items.obj_at)
+            outer = [pa.nulls(len(at), pa.string())] * len(outer_fields)
+            if level.outer_row is not None:
+                rank = np.full(level.outer_items.n, -1)  # row among all elements -> row among the objects
+                rank[level.outer_items.obj_at] = np.arange(len(level.outer_items.obj_at))
+                rows = rank[level.outer_row.take(at).to_numpy()]
+                outer = [_texts(level.outer_items.field_values(f)).take(pa.array(rows, mask=rows < 0)) for f in outer_fields]
+            yield batch(path, level.owner.take(at), outer, [_texts(level.items.field_values(f)) for f in spec[path]])
+
+    return _map_documents(df, id_col, content_col, "file_id bigint, entity_pos int, " + ", ".join(f"{n} string" for n in names), emit)
+
+
 def entities(df: DataFrame, fields: list[str], id_col: str = "file_id", content_col: str = "content") -> DataFrame:
     """One row for each entity, with the named fields (dotted through objects) as text."""
     names = [f.replace(".", "_").lower() for f in fields]
 
     def emit(ids, docs):
-        column, file_row, places = _entities(ids, docs)
-        if len(column.obj_at):
-            at = pa.array(column.obj_at)
-            owner = pa.array(ids, pa.int64()).take(file_row.take(at))
-            yield pa.RecordBatch.from_arrays([owner, pa.array(places[column.obj_at], pa.int32()), *(_texts(column.field_values(f)) for f in fields)], ["file_id", "entity_pos", *names])
+        found = Entities(ids, docs)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([found.file_id, found.pos, *(_texts(found.column.field_values(f)) for f in fields)], ["file_id", "entity_pos", *names])
 
     return _map_documents(df, id_col, content_col, "file_id bigint, entity_pos int, " + ", ".join(f"`{n}` string" for n in names), emit)
 

@@ -98,7 +98,23 @@ roots AS (SELECT up.node, up.anc AS root_id, up.dist AS depth FROM up JOIN top O
 loops AS (SELECT a.node, min(b.anc) AS root_id FROM (SELECT node, anc FROM up WHERE dist = 400) a JOIN up b ON b.node = a.anc GROUP BY a.node)
 """
 
+_CLOSURE = """
+l AS (SELECT target AS node, min(source) AS parent FROM graph_edges WHERE rel_type = 'Contains' AND source IS NOT NULL AND target IS NOT NULL GROUP BY target),
+down(anc, node, dist) AS (SELECT parent, node, 1 FROM l UNION SELECT d.anc, l.node, dist + 1 FROM down d JOIN l ON l.parent = d.node WHERE dist < 400),
+bad AS (SELECT DISTINCT node FROM down WHERE dist = 400)
+"""
+
+_DOCS = """
+f AS (SELECT DISTINCT file_id, CASE WHEN content[1] = chr(65279) THEN content[2:] ELSE content END AS c FROM collector_files),
+v AS (SELECT file_id, c::JSON AS j FROM f WHERE json_valid(c))
+"""
+
 ORACLE = {
+    "p1_found": f"""WITH {_DOCS}, t AS (SELECT file_id, k.fullkey AS key FROM v, json_tree(v.j) k WHERE k.type = 'OBJECT' AND regexp_matches(k.fullkey, '^\\$\\.data\\[\\d+\\]\\..*\\]$'))
+SELECT file_id, CAST(regexp_extract(key, '^\\$\\.data\\[(\\d+)\\]', 1) AS INTEGER) AS entity_pos, regexp_replace(regexp_replace(key, '^\\$\\.data\\[\\d+\\]\\.', ''), '\\[\\d+\\]', '', 'g') AS array_path,
+       array_to_string(regexp_extract_all(regexp_replace(key, '^\\$\\.data\\[\\d+\\]\\.', ''), '\\[(\\d+)\\]', 1), '.') AS item_pos FROM t""",
+    "p1_files": f"WITH {_DOCS} SELECT file_id, json_valid(c) AS valid, CASE WHEN json_valid(c) THEN lower(c->>'$.meta.type') END AS data_type, CASE WHEN json_valid(c) THEN c->>'$.meta.version' END AS version, CASE WHEN json_valid(c) THEN CAST(json_array_length(c->'data') AS INTEGER) ELSE 0 END AS n_elements, CASE WHEN json_valid(c) THEN CAST(len(list_filter(json_transform(c->'data', '[\"JSON\"]'), lambda x: json_type(x) = 'OBJECT')) AS INTEGER) ELSE 0 END AS n_entities FROM f",
+    "p2_descendants": f"WITH RECURSIVE {_CLOSURE} SELECT anc AS ancestor, node, CAST(dist AS INTEGER) AS distance FROM down WHERE node NOT IN (SELECT node FROM bad)",
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT node AS objectid, root_id, CAST(depth AS INTEGER) AS depth FROM roots UNION ALL SELECT node, root_id, -1 FROM loops",
     "p3_found": f"WITH {_REFS} SELECT edge_id, endpoint, kind FROM o",
     "p3_report": f"WITH {_REFS} SELECT 'graph_edges' AS table_name, endpoint, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n_orphans FROM o GROUP BY ALL",
