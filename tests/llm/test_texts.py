@@ -208,10 +208,15 @@ def test_garbled_documents(spark):
         (25, "ASCII only " * 20_000),
         (26, "fÃ¼r " + "x" * 200_000),
         (27, "die ã¼bergeordnete"),
+        (28, "ещё ñ€ð°ð· вечером"),
+        (29, "§ 2: О” ≤ 14 ± 2 °C, la panne Г\u00a0 cause"),
+        (50, "端末は次の確認まで結果を削除した".encode("cp932").decode("mac_roman")),
+        (51, "端末は次の確認まで結果を削除した".encode("euc_jp").decode("cp1252")),
     ] + [(30 + i, t) for i, t in enumerate(CLEAN)]
     docs = spark.createDataFrame(data, DOCS)
     got = {r.doc_id: r for r in garble.garbled_documents(docs).collect()}
-    assert sorted(got) == [20, 21, 22, 26, 27]
+    assert sorted(got) == [20, 21, 22, 26, 27, 28, 29, 50, 51]
+    assert got[28].text == "ещё раз вечером" and got[29].text == "§ 2: Δ ≤ 14 ± 2 °C, la panne à cause" and got[50].text == got[51].text == "端末は次の確認まで結果を削除した"
     assert got[20].text == got[21].text == base and got[22].text == "ok " + base and got[27].text == "die übergeordnete"
     assert all(r.restored for r in got.values())
     assert sorted(r.doc_id for r in garble.garbled_documents(docs, block=2).collect()) == sorted(got)
