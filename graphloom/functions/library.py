@@ -27,6 +27,8 @@ def _size(a: Val) -> Val:
 
 
 def _length(a: Val) -> Val:
+    if a.kind == "path" and "hops" in a.props:
+        return Val(a.col, "int")
     return Val(F.size(a.col["relationships"]).cast("bigint"), "int") if a.kind == "path" else _size(a)
 
 

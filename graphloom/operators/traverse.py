@@ -18,6 +18,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
     ``targets`` (node) limit the result; with ``pairs`` a seed stops once all its targets are found. ``limit``: largest
     frontier allowed. Among equal paths the one with the smallest relationship ids is kept."""
     edges = edges.where("src is not null and dst is not null")
+    # not partitioned by src ahead: a hot source would then stay one task, while a shuffle per level can be split (AQE)
     edges = (edges if paths else edges.select("src", "dst").distinct()).persist()
     first = seeds.select("seed").where("seed is not null").distinct()
     start = [F.col("seed"), F.col("seed").alias("node")]

@@ -109,11 +109,11 @@ def pattern_vars(path: A.PathPat) -> list[str]:
 
 
 def _used_vars(statement: Any) -> set[str]:
-    """Variables of which more than the id is needed somewhere."""
+    """Variables of which more than the id (of a path: the length) is needed somewhere."""
     out: set[str] = set()
 
     def visit(e: Any) -> None:
-        if isinstance(e, A.Call) and e.name in ("count", "id") and len(e.args) == 1 and isinstance(e.args[0], A.Var):
+        if isinstance(e, A.Call) and e.name in ("count", "id", "length") and len(e.args) == 1 and isinstance(e.args[0], A.Var):
             return
         if isinstance(e, A.Var):
             out.add(e.name)
@@ -285,7 +285,8 @@ class Executor:
             state, nodes[j], steps[(i + j) // 2] = self._hop(state, nodes[i], rel, parts[j], not right, path, live, rels)
             state, waiting = self._ready(state, waiting)
         if path.var:
-            state = self._bind_path(state, path.var, [nodes[i] for i in range(0, len(parts), 2)], [steps[i] for i in range(1, len(parts), 2)]) if live else state
+            bind = self._bind_path if live else self._bind_length
+            state = bind(state, path.var, [nodes[i] for i in range(0, len(parts), 2)], [steps[i] for i in range(1, len(parts), 2)])
         return state, waiting
 
     def _node_of(self, state: State, name: str) -> Bound:
@@ -413,6 +414,13 @@ class Executor:
                 state.scope[rel.var] = Bound("value", {"value": f"{mark}_rels"}, {}, Val(None, "list", elem=elem))
         return state, end, (mark, elem)
 
+    def _bind_length(self, state: State, name: str, nodes: list[Bound], steps: list[Any]) -> State:
+        """A path of which only the length is asked: no nodes or relationships are carried along."""
+        hops = reduce(Column.__add__, (F.lit(1) if isinstance(s, Bound) else F.col(f"{s[0]}_depth") for s in steps), F.lit(0))
+        col = self.fresh(name)
+        bound = Bound("value", {"value": col}, {}, Val(None, "path", props={"hops": Val(None, "int")}))
+        return State(state.df.withColumn(col, hops.cast("bigint")), {**state.scope, name: bound})
+
     def _bind_path(self, state: State, name: str, nodes: list[Bound], steps: list[Any]) -> State:
         kinds: dict[str, Val] = {}
         for s in steps:

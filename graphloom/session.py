@@ -27,6 +27,31 @@ class Result:
     def rows(self) -> list[tuple]:
         return [] if self.df is None else [tuple(r) for r in self.df.collect()]
 
+    def graph(self, graph: Graph) -> tuple[DataFrame, DataFrame]:
+        """Nodes and relationships named in the result's node, relationship and path columns, each once; ends of
+        relationships come along from ``graph`` even where the result has no column for them."""
+        from functools import reduce
+
+        from pyspark.sql import functions as F
+        from pyspark.sql import types as T
+
+        rel_fields, ids, rels = ["id", "rel_type", "source", "target"], [], []
+        for f in self.df.schema.fields if self.df is not None else []:
+            names = f.dataType.names if isinstance(f.dataType, T.StructType) else []
+            col = F.col(f"`{f.name}`")
+            if {"nodes", "relationships"} <= set(names):
+                ids.append(self.df.select(F.explode(col["nodes"]["id"]).alias("id")))
+                rels.append(self.df.select(F.explode(col["relationships"]).alias("r")).select(*(F.col(f"r.{c}") for c in rel_fields)))
+            elif "rel_type" in names:
+                rels.append(self.df.select(*(col[c].alias(c) for c in rel_fields)).where("id is not null"))
+            elif "labels" in names:
+                ids.append(self.df.select(col["id"].alias("id")).where("id is not null"))
+        nodes = graph.node_frame()
+        none = graph.rel_frame(list(graph.rels)).select(*rel_fields).where(F.lit(False))
+        found = reduce(DataFrame.unionByName, rels, none).dropDuplicates(["id", "rel_type"])
+        ids += [found.select(F.col(c).alias("id")) for c in ("source", "target")]
+        return nodes.join(reduce(DataFrame.unionByName, ids).distinct(), "id", "left_semi"), found
+
     def json(self) -> DataFrame:
         """One JSON object per row, for sinks."""
         from pyspark.sql import functions as F
