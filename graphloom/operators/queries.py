@@ -109,7 +109,23 @@ f AS (SELECT DISTINCT file_id, CASE WHEN content[1] = chr(65279) THEN content[2:
 v AS (SELECT file_id, c::JSON AS j FROM f WHERE json_valid(c))
 """
 
+_ENTITIES = f"""{_DOCS},
+a AS (SELECT file_id, json_transform(j->'data', '["JSON"]') AS l FROM v WHERE json_type(j->'data') = 'ARRAY'),
+x AS (SELECT file_id, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS entity_pos FROM a)
+"""
+
+
+def _children(path: str) -> str:
+    """SQL for the elements of one array field of the entities: c with the key columns and the element i."""
+    return f"""{_ENTITIES}, b AS (SELECT file_id, entity_pos, json_transform(json_extract(x, '{path}'), '["JSON"]') AS l FROM x WHERE json_type(x) = 'OBJECT' AND json_type(json_extract(x, '{path}')) = 'ARRAY'),
+    c AS (SELECT file_id, entity_pos, unnest(l) AS i, CAST(generate_subscripts(l, 1) - 1 AS VARCHAR) AS item_pos FROM b)"""
+
+
 ORACLE = {
+    "p1_entities": f"WITH {_ENTITIES} SELECT file_id, entity_pos, x->>'$.ObjectIdentifier' AS objectidentifier, x->>'$.Properties.name' AS properties_name, x->>'$.Properties.domainsid' AS properties_domainsid, x->>'$.PrimaryGroupSID' AS primarygroupsid FROM x WHERE json_type(x) = 'OBJECT'",
+    "p1_aces": f"WITH {_children('$.Aces')} SELECT file_id, entity_pos, item_pos, i->>'$.PrincipalSID' AS principalsid, i->>'$.RightName' AS rightname, i->>'$.PrincipalType' AS principaltype, i->>'$.IsInherited' AS isinherited FROM c WHERE json_type(i) = 'OBJECT'",
+    "p1_local_group_members": f"""WITH {_children('$.LocalGroups')}, m AS (SELECT file_id, entity_pos, item_pos, json_transform(json_extract(i, '$.Results'), '["JSON"]') AS l FROM c WHERE json_type(i) = 'OBJECT' AND json_type(json_extract(i, '$.Results')) = 'ARRAY'),
+    n AS (SELECT file_id, entity_pos, item_pos || '.' || CAST(generate_subscripts(l, 1) - 1 AS VARCHAR) AS item_pos, unnest(l) AS i FROM m) SELECT file_id, entity_pos, item_pos, i->>'$.ObjectIdentifier' AS objectidentifier, i->>'$.ObjectType' AS objecttype FROM n WHERE json_type(i) = 'OBJECT'""",
     "p1_found": f"""WITH {_DOCS}, t AS (SELECT file_id, k.fullkey AS key FROM v, json_tree(v.j) k WHERE k.type = 'OBJECT' AND regexp_matches(k.fullkey, '^\\$\\.data\\[\\d+\\]\\..*\\]$'))
 SELECT file_id, CAST(regexp_extract(key, '^\\$\\.data\\[(\\d+)\\]', 1) AS INTEGER) AS entity_pos, regexp_replace(regexp_replace(key, '^\\$\\.data\\[\\d+\\]\\.', ''), '\\[\\d+\\]', '', 'g') AS array_path,
        array_to_string(regexp_extract_all(regexp_replace(key, '^\\$\\.data\\[\\d+\\]\\.', ''), '\\[(\\d+)\\]', 1), '.') AS item_pos FROM t""",
