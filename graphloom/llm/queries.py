@@ -45,4 +45,15 @@ def p8_found(spark, d):
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_pack, p6_report, p7_found, p7_leaks, p7_report, p8_found, p8_restored)}
 
-ORACLE: dict[str, str] = {}
+_WINDOWS = """
+w AS (SELECT {key} AS k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS l FROM {table} WHERE text IS NOT NULL),
+u AS (SELECT k, l, unnest(range(1, len(l) - 10)) AS i FROM w WHERE len(l) >= 12)
+SELECT DISTINCT k, array_to_string(l[i:i + 11], ' ') AS run FROM u
+"""
+_RUNS = f"d AS (WITH {_WINDOWS.format(key='doc_id', table='documents')}), e AS (WITH {_WINDOWS.format(key='item_id', table='eval_items')}), found AS (SELECT DISTINCT d.k AS doc_id, e.k AS item_id FROM d JOIN e USING (run))"
+
+ORACLE: dict[str, str] = {
+    # any of the tokenizers gives a token a word or more, and a token a byte or fewer: the data leave nothing between
+    "p6_found": "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > (SELECT max(capacity_tokens) FROM context_windows)",
+    "p7_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM found",
+}
