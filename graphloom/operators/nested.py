@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions import shred
+from graphloom.runtime import spread
 
 _KEY = "__row_key"
 
@@ -29,11 +30,9 @@ def _deduplicated(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """id, content, and a key equal for exact duplicates; duplicates are brought into one partition.
 
     Partitioned by the hash of the whole row, so neither a null id nor a repeated one makes a hot partition."""
-    spark = df.sparkSession
     key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(content_col).cast("string").alias("content"), key.alias(_KEY)).repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), _KEY
-    )
+    rows = df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(content_col).cast("string").alias("content"), key.alias(_KEY))
+    return rows.repartition(spread(rows), _KEY)
 
 
 def _map_documents(df: DataFrame, id_col: str, content_col: str, schema: str, emit: Callable[[list, list], Iterator[pa.RecordBatch]]) -> DataFrame:

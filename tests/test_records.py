@@ -116,6 +116,15 @@ def test_hierarchy(spark, local_rows):
     assert rows(hierarchy.descendants(h).where("ancestor = 'r'")) == [("r", "a", 1), ("r", "b", 1), ("r", "c", 2), ("r", "d", 3)]
 
 
+@pytest.mark.parametrize("with_path", [True, False])
+def test_hierarchy_of_long_chains(spark, with_path):
+    links = LINKS + [(f"n{i:03}", f"n{i + 1:03}") for i in range(90)] + [(f"o{i:03}", f"o{(i + 1) % 70:03}") for i in range(70)] + [("o005", "below"), ("below", "deeper")]
+    h = hierarchy.hierarchy(spark.createDataFrame(links, "p string, c string"), "p", "c", with_path=with_path, local_rows=0, slow_rounds=1)
+    got = sorted(((r.node, r.root_id, r.depth, r.path if with_path else None) for r in h.collect()), key=lambda r: r[0])
+    assert got == [(*x[:3], x[3] if with_path else None) for x in expected_hierarchy(links)]
+    assert h.where("subtree_size is null and depth > 50").count() and h.where("subtree_size is null and depth = -1").count()
+
+
 def test_hierarchy_empty(spark):
     empty = spark.createDataFrame([], "p string, c string")
     assert hierarchy.hierarchy(empty, "p", "c").count() == 0
