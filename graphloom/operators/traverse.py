@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.runtime import cut
 
 
+SMALL_FRONTIER = 100_000  # rows (a twentieth of it with paths) up to which a counted frontier is broadcast
+
+
+def _ahead(frontier: DataFrame, n: int, most: int) -> DataFrame:
+    """A frontier counted as small goes to the edges, so they stay where they are; a larger one is shuffled with them."""
+    return F.broadcast(frontier) if n <= most else frontier
+
+
 class ResourceLimitError(RuntimeError):
     """A frontier or result grew beyond its limit."""
 
@@ -19,7 +27,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
     frontier allowed. Among equal paths the one with the smallest relationship ids is kept."""
     edges = edges.where("src is not null and dst is not null")
     # not partitioned by src ahead: a hot source would then stay one task, while a shuffle per level can be split (AQE)
-    edges = (edges if paths else edges.select("src", "dst").distinct()).persist()
+    edges = (edges if paths else edges.select("src", "dst")).persist()
+    most = SMALL_FRONTIER // 20 if paths else SMALL_FRONTIER
     first = seeds.select("seed").where("seed is not null").distinct()
     start = [F.col("seed"), F.col("seed").alias("node")]
     if paths:
@@ -28,13 +37,13 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
     frontier = cut(first.select(*start))
     visited, levels = frontier.select("seed", "node"), []
     waiting = None if pairs is None else cut(pairs.select("seed", "node").distinct())
-    depth = 0
+    depth, n = 0, frontier.count()
     while depth < high:
         depth += 1
         out = ["seed", F.col("dst").alias("node")]
         if paths:
             out += [F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels")]
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(*out)
+        step = edges.join(_ahead(frontier, n, most), F.col("node") == F.col("src")).select(*out)
         step = step.join(visited, ["seed", "node"], "left_anti")
         if not paths:
             step = step.distinct()
@@ -54,7 +63,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
             waiting = cut(waiting.join(frontier.select("seed", "node").distinct(), ["seed", "node"], "left_anti"))
             if not waiting.limit(1).count():
                 break
-            frontier = frontier.join(waiting.select("seed").distinct(), "seed", "left_semi")
+            frontier = frontier.join(waiting.select("seed").distinct(), "seed", "left_semi")  # n stays an upper bound
         if depth % 8 == 0:
             visited = cut(visited)
     edges.unpersist()
@@ -72,14 +81,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
 
 def distances(edges: DataFrame, seeds: DataFrame, high: int = 1_000_000) -> DataFrame:
     """node, hops: distance from the nearest seed, all seeds at once (hops 0 for the seeds). ``edges``: src, dst."""
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct().persist()
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").persist()
     frontier = cut(seeds.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)))
-    found, depth = frontier, 0
+    found, depth, n = frontier, 0, frontier.count()
     while depth < high:
         depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        step = edges.join(_ahead(frontier, n, SMALL_FRONTIER), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(depth)))
-        if not frontier.limit(1).count():
+        if not (n := frontier.count()):
             break
         found = found.unionByName(frontier)
         if depth % 8 == 0:

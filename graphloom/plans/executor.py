@@ -33,6 +33,7 @@ class Bound:
     cols: dict[str, str]
     kinds: dict[str, Val]
     whole: Val | None = None  # of a value: its kind
+    sets: set[tuple[str, ...]] | None = None  # of a node: the label sets it can have, if known
 
     def val(self) -> Val:
         if self.kind == "value":
@@ -128,6 +129,13 @@ def _used_vars(statement: Any) -> set[str]:
     return out
 
 
+def _rows(df: DataFrame) -> int:
+    """Rows of a base table, counted once (from file footers where it is a plain file)."""
+    if "_row_count" not in df.__dict__:
+        df.__dict__["_row_count"] = df.count()
+    return df.__dict__["_row_count"]
+
+
 class Executor:
     def __init__(self, spark: SparkSession, graph: Graph, params: dict[str, Any] | None = None, frontier_limit: int | None = None):
         self.spark, self.graph, self.params, self.frontier_limit = spark, graph, params or {}, frontier_limit
@@ -188,6 +196,8 @@ class Executor:
     def scan(self, node: A.NodePat, among: set | None = None) -> tuple[DataFrame, Bound]:
         """The nodes of a pattern; properties that depend on other variables are left to ``_with_props``."""
         df, bound = self._bind(self.graph.node_frame(node.labels, among), "node", node.var or "node")
+        if all(t.labels is not None for t in self.graph.nodes):
+            bound.sets = {t.labels for t in self.graph.nodes if may_have(t.labels, node.labels) and (among is None or t.labels in among)}
         return self._with_props(df, bound, fixed_props(node.props), State()), bound
 
     def _with_props(self, df: DataFrame, bound: Bound, props: tuple, state: State) -> DataFrame:
@@ -278,17 +288,36 @@ class Executor:
         nodes: dict[int, Bound] = {at: bound}
         steps: dict[int, Any] = {}
         live = path.var is not None and (path.var in self.used or self.star)
-        for i in [*range(at, len(parts) - 1, 2), *range(at, 0, -2)]:
-            right = i + 2 < len(parts) and i + 2 not in nodes
-            j = i + 2 if right else i - 2
-            rel = parts[(i + j) // 2]
-            state, nodes[j], steps[(i + j) // 2] = self._hop(state, nodes[i], rel, parts[j], not right, path, live, rels)
+        for i in range(0, len(parts), 2):  # later nodes of the path that are bound already, as in a cycle
+            if i != at and parts[i].var and parts[i].var in state.scope:
+                nodes[i] = self._node_of(state, parts[i].var)
+                state = self._check_node(state, nodes[i], parts[i])
+        while len(steps) < len(parts) // 2:
+            k = self._next_hop(parts, nodes, steps)
+            i, j = (k - 1, k + 1) if k - 1 in nodes else (k + 1, k - 1)
+            state, nodes[j], steps[k] = self._hop(state, nodes[i], parts[k], parts[j], nodes.get(j), j < i, path, live, rels)
             state, waiting = self._ready(state, waiting)
         if path.var:
             bind = self._bind_path if live else self._bind_length
             state = bind(state, path.var, [nodes[i] for i in range(0, len(parts), 2)], [steps[i] for i in range(1, len(parts), 2)])
         return state, waiting
 
+    def _next_hop(self, parts: tuple, nodes: dict[int, Bound], steps: dict[int, Any]) -> int:
+        """Of the relationships next to a bound node, one between bound nodes, else the one with the least fan-out."""
+        some = [k for k in range(1, len(parts), 2) if k not in steps and (k - 1 in nodes or k + 1 in nodes)]
+        closing = [k for k in some if k - 1 in nodes and k + 1 in nodes]
+        if closing or len(some) == 1:
+            return (closing or some)[0]
+
+        def fan_out(k: int) -> float:
+            if parts[k].hops is not None:
+                return float("inf")
+            near = nodes[k - 1] if k - 1 in nodes else nodes[k + 1]
+            tables = [t for t in self.graph.nodes if near.sets is None or t.labels in near.sets]
+            return sum(_rows(t.df) for t in self.graph.rel_tables(parts[k].types)) / max(1, sum(_rows(t.df) for t in tables))
+
+        return min(some, key=fan_out)
+
     def _node_of(self, state: State, name: str) -> Bound:
         bound = state.scope[name]
         if bound.kind != "node":
@@ -318,27 +347,26 @@ class Executor:
 
     def _oriented(self, rel: A.RelPat, direction: str, near: Bound, far: A.NodePat) -> tuple[DataFrame, list[RelTable], set | None]:
         """src, dst and the relationships' columns, from the tables that can match; label sets of the far end."""
-        tables = []
-        for t in self.graph.rel_tables(rel.types):
-            groups = far.labels if rel.hops is None else ()  # on the way to the far end any table may serve
-            fits_out = may_have(t.target_labels, groups)
-            fits_in = may_have(t.source_labels, groups)
-            if fits_out and direction == "out" or fits_in and direction == "in" or (fits_in or fits_out) and direction == "both":
-                tables.append(t)
-        df = self.graph.rel_frame(tables)
-        out = df.withColumns({"src": F.col("source"), "dst": F.col("target")})
-        back = df.withColumns({"src": F.col("target"), "dst": F.col("source")})
-        if direction == "in":
-            out = back
-        elif direction == "both":
-            out = out.unionByName(back.where("source <> target"))
-        ends: set | None = set()
-        for t in tables:
-            sides = {"out": [t.target_labels], "in": [t.source_labels], "both": [t.source_labels, t.target_labels]}[direction]
-            ends = None if ends is None or any(s is None for s in sides) else ends | set(sides)
-        return out, tables, ends
-
-    def _hop(self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, backwards: bool, path: A.PathPat, live: bool, rels: list) -> tuple[State, Bound, Any]:
+        every = self.graph.rel_tables(rel.types)
+        many = rel.hops is not None  # on the way any table may serve
+
+        def fits(here: tuple | None, there: tuple | None) -> bool:
+            return many or (near.sets is None or here is None or here in near.sets) and may_have(there, far.labels)
+
+        out = [t for t in every if direction != "in" and fits(t.source_labels, t.target_labels)]
+        back = [t for t in every if direction != "out" and fits(t.target_labels, t.source_labels)]
+        halves = []
+        if out or not back:
+            halves.append(self.graph.rel_frame(out).withColumns({"src": F.col("source"), "dst": F.col("target")}))
+        if back:
+            df = self.graph.rel_frame(back).withColumns({"src": F.col("target"), "dst": F.col("source")})
+            halves.append(df.where("source <> target") if direction == "both" else df)
+        sides = [t.target_labels for t in out] + [t.source_labels for t in back]
+        ends = None if any(s is None for s in sides) else set(sides)
+        tables = out + [t for t in back if not any(t is o for o in out)]
+        return union_tables(halves) if len(halves) > 1 else halves[0], tables, ends
+
+    def _hop(self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, known: Bound | None, backwards: bool, path: A.PathPat, live: bool, rels: list) -> tuple[State, Bound, Any]:
         direction = {"out": "in", "in": "out"}.get(rel.direction, "both") if backwards else rel.direction
         edges, tables, ends = self._oriented(rel, direction, near, far)
         edges, bound = self._bind(edges, "rel", rel.var or "rel")
@@ -346,7 +374,7 @@ class Executor:
         if rel.hops is not None or path.shortest:
             if other_props(rel.props):
                 raise QueryError("properties of a variable-length relationship must be constants")
-            return self._traverse(state, near, rel, far, edges, bound, backwards, path, live, ends, tables)
+            return self._traverse(state, near, rel, far, known, edges, bound, backwards, path, live, ends, tables)
         df = state.df.join(edges, F.col(near.cols["id"]) == F.col(bound.cols["src"]))
         df = self._with_props(df, bound, other_props(rel.props), state)
         if rel.var and rel.var in state.scope:
@@ -360,11 +388,13 @@ class Executor:
         state = State(df, dict(state.scope))
         if rel.var:
             state.scope[rel.var] = Bound("rel", {k: v for k, v in bound.cols.items() if k not in ("src", "dst")}, {k: v for k, v in bound.kinds.items() if k not in ("src", "dst")})
-        state, end = self._arrive(state, F.col(bound.cols["dst"]), far, ends, tables)
+        state, end = self._arrive(state, F.col(bound.cols["dst"]), far, known, ends, tables)
         return state, end, bound
 
-    def _arrive(self, state: State, ident: Column, far: A.NodePat, ends: set | None, tables: list[RelTable]) -> tuple[State, Bound]:
-        if far.var and far.var in state.scope:
+    def _arrive(self, state: State, ident: Column, far: A.NodePat, known: Bound | None, ends: set | None, tables: list[RelTable]) -> tuple[State, Bound]:
+        if known is not None:
+            return replace(state, df=state.df.where(ident == F.col(known.cols["id"]))), known
+        if far.var and far.var in state.scope:  # the node the path started from, as in (a)-[]->(a)
             bound = self._node_of(state, far.var)
             state = replace(state, df=state.df.where(ident == F.col(bound.cols["id"])))
             return self._check_node(state, bound, far), bound
@@ -373,7 +403,7 @@ class Executor:
             name = self.fresh(far.var or "node")
             labels = f"{name}_labels"
             df = state.df.withColumns({name: ident, labels: F.array().cast("array<string>")})
-            bound = Bound("node", {"id": name, "labels": labels}, {"id": Val(None, "int")})
+            bound = Bound("node", {"id": name, "labels": labels}, {"id": Val(None, "int")}, sets=ends)
         else:
             nodes, bound = self.scan(far, ends)
             df = state.df.join(nodes, ident == F.col(bound.cols["id"]))
@@ -383,7 +413,7 @@ class Executor:
             state.scope[far.var] = bound
         return state, bound
 
-    def _traverse(self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, edges: DataFrame, bound: Bound, backwards: bool, path: A.PathPat, live: bool, ends: set | None, tables: list) -> tuple[State, Bound, Any]:
+    def _traverse(self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, known: Bound | None, edges: DataFrame, bound: Bound, backwards: bool, path: A.PathPat, live: bool, ends: set | None, tables: list) -> tuple[State, Bound, Any]:
         listed = bool(rel.var and (rel.var in self.used or self.star))
         paths = live or listed
         struct = F.struct(*(F.col(bound.cols[k]).alias(k) for k in ["id", "rel_type", "source", "target", *(k for k in bound.cols if k not in ("id", "rel_type", "source", "target", "src", "dst"))]))
@@ -391,8 +421,8 @@ class Executor:
         df = state.df
         seeds = df.select(F.col(near.cols["id"]).alias("seed"))
         pairs = targets = None
-        if far.var and far.var in state.scope:
-            pairs = df.select(F.col(near.cols["id"]).alias("seed"), F.col(self._node_of(state, far.var).cols["id"]).alias("node"))
+        if known is not None:
+            pairs = df.select(F.col(near.cols["id"]).alias("seed"), F.col(known.cols["id"]).alias("node"))
         elif far.labels or far.props:
             nodes, end = self.scan(far, ends)
             targets = nodes.select(F.col(end.cols["id"]).alias("node"))
@@ -402,7 +432,7 @@ class Executor:
         found = found.select(*(F.col(c).alias(f"{mark}_{c}") for c in found.columns))
         df = df.join(found, F.col(near.cols["id"]) == F.col(f"{mark}_seed"))
         state = State(df, dict(state.scope))
-        state, end = self._arrive(state, F.col(f"{mark}_node"), far, ends, tables)
+        state, end = self._arrive(state, F.col(f"{mark}_node"), far, known, ends, tables)
         elem = Val(None, "rel", props={k: v for k, v in bound.kinds.items() if k not in ("src", "dst")})
         if paths:
             rel_list = F.col(f"{mark}_rels")
