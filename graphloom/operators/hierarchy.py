@@ -201,7 +201,31 @@ def hierarchy(links: DataFrame, parent: str, child: str, with_path: bool = True,
     return out
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(ancestor, node, distance) rows from the paths of ``hierarchy``: every node below every node, without cycles."""
+def tree_descendants(nodes: DataFrame) -> DataFrame:
+    """(ancestor, node, distance) rows from the paths of ``hierarchy``: every node below every node, without nodes on a cycle or below one."""
     at = F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("pos", "ancestor")
     return nodes.where("depth > 0").select("node", "depth", at).select("ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"))
+
+
+def caught_descendants(nodes: DataFrame) -> DataFrame:
+    """(ancestor, node, distance) rows for the nodes on a cycle or below one.
+
+    The link into the smallest id of each cycle is left out, which makes the rest an ordinary tree with that id on top. The
+    path of the cycle's last node is then the whole cycle; what of it is not in a node's own path lies above the top."""
+    caught = cut(nodes.where("depth < 0").select("node", "parent", "root_id"))
+    if not caught.where("node <> root_id").limit(1).count():
+        return tree_descendants(nodes.where("depth < 0"))  # only cycles of one
+    opened = cut(hierarchy(caught.where("node <> root_id"), "parent", "node").select("node", "root_id", "depth", "path"))
+    last = caught.where("node = root_id").select(F.col("parent").alias("node"))
+    rings = opened.join(last, "node").select("root_id", F.col("path").alias("ring"))
+    joined = opened.join(rings, "root_id").select("node", "depth", "ring", F.size(F.array_intersect("path", "ring")).alias("shared"))
+    at = F.posexplode(F.slice("ring", F.col("shared") + 1, F.size("ring"))).alias("pos", "ancestor")
+    above = joined.select("node", "depth", (F.size("ring") - F.col("shared")).alias("n_above"), at)
+    return tree_descendants(opened).unionByName(above.select("ancestor", "node", (F.col("depth") + F.col("n_above") - F.col("pos")).alias("distance")))
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(ancestor, node, distance) rows of every node below every other node, at the least number of links.
+
+    Nodes on a cycle are below all others on it, nodes below a cycle are below all of it; no node is below itself."""
+    return tree_descendants(nodes).unionByName(caught_descendants(nodes))

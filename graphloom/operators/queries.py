@@ -44,6 +44,11 @@ def p2_hierarchy(spark, d):
 
 
 def p2_descendants(spark, d):
+    """Without nodes on a cycle or below one, as its SQL has it; ``p2_descendants_all`` has all."""
+    return hierarchy.tree_descendants(hierarchy.hierarchy(_contains(spark, d), "source", "target"))
+
+
+def p2_descendants_all(spark, d):
     return hierarchy.descendants(hierarchy.hierarchy(_contains(spark, d), "source", "target"))
 
 
@@ -76,7 +81,7 @@ def p5_summary(spark, d):
     return found.select("target", "rel_type", "n_rows", "n_distinct", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_report, p4_found, p4_trusts, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p2_found, p2_hierarchy, p2_descendants, p2_descendants_all, p3_found, p3_report, p4_found, p4_trusts, p5_found, p5_summary)}
 
 _REFS = """
 n AS (SELECT DISTINCT * FROM nodes), e AS (SELECT DISTINCT * FROM graph_edges),
@@ -131,6 +136,7 @@ SELECT file_id, CAST(regexp_extract(key, '^\\$\\.data\\[(\\d+)\\]', 1) AS INTEGE
        array_to_string(regexp_extract_all(regexp_replace(key, '^\\$\\.data\\[\\d+\\]\\.', ''), '\\[(\\d+)\\]', 1), '.') AS item_pos FROM t""",
     "p1_files": f"WITH {_DOCS} SELECT file_id, json_valid(c) AS valid, CASE WHEN json_valid(c) THEN lower(c->>'$.meta.type') END AS data_type, CASE WHEN json_valid(c) THEN c->>'$.meta.version' END AS version, CASE WHEN json_valid(c) THEN CAST(json_array_length(c->'data') AS INTEGER) ELSE 0 END AS n_elements, CASE WHEN json_valid(c) THEN CAST(len(list_filter(json_transform(c->'data', '[\"JSON\"]'), lambda x: json_type(x) = 'OBJECT')) AS INTEGER) ELSE 0 END AS n_entities FROM f",
     "p2_descendants": f"WITH RECURSIVE {_CLOSURE} SELECT anc AS ancestor, node, CAST(dist AS INTEGER) AS distance FROM down WHERE node NOT IN (SELECT node FROM bad)",
+    "p2_descendants_all": f"WITH RECURSIVE {_CLOSURE} SELECT anc AS ancestor, node, CAST(min(dist) AS INTEGER) AS distance FROM down WHERE anc <> node GROUP BY 1, 2",
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT node AS objectid, root_id, CAST(depth AS INTEGER) AS depth FROM roots UNION ALL SELECT node, root_id, -1 FROM loops",
     "p3_found": f"WITH {_REFS} SELECT edge_id, endpoint, kind FROM o",
     "p3_report": f"WITH {_REFS} SELECT 'graph_edges' AS table_name, endpoint, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n_orphans FROM o GROUP BY ALL",

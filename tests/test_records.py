@@ -116,6 +116,38 @@ def test_hierarchy(spark, local_rows):
     assert rows(hierarchy.descendants(h).where("ancestor = 'r'")) == [("r", "a", 1), ("r", "b", 1), ("r", "c", 2), ("r", "d", 3)]
 
 
+def expected_descendants(links):
+    up = {}
+    for p, c in links:
+        if p is not None and c is not None:
+            up[c] = min(p, up.get(c, p))
+    out = []
+    for x in up:
+        seen, at = {x}, up.get(x)
+        while at is not None and at not in seen:
+            out.append((at, x, len(seen)))
+            seen.add(at)
+            at = up.get(at)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("local_rows", [1000, 0])
+def test_descendants_of_cycles(spark, local_rows):
+    links = [*LINKS, ("v", "u"), ("y", "y1"), ("y1", "y2"), ("t", "t1")]
+    h = hierarchy.hierarchy(spark.createDataFrame(links, "p string, node string"), "p", "node", local_rows=local_rows)
+    got = rows(hierarchy.descendants(h))
+    assert got == expected_descendants(links)
+    assert {("w", "u", 2), ("x", "u", 5), ("x", "z", 2), ("s", "t1", 2)} <= set(got)
+    only = spark.createDataFrame([("s", "s")], "p string, node string")
+    assert rows(hierarchy.descendants(hierarchy.hierarchy(only, "p", "node"))) == []
+
+
+def test_descendants_of_test_data(spark, sf):
+    e = pd.read_parquet(f"{sf}/graph_edges.parquet")
+    e = e[(e.rel_type == "Contains") & e.source.notna() & e.target.notna()]
+    assert rows(queries.p2_descendants_all(spark, sf)) == expected_descendants(list(zip(e.source, e.target)))
+
+
 @pytest.mark.parametrize("with_path", [True, False])
 def test_hierarchy_of_long_chains(spark, with_path):
     links = LINKS + [(f"n{i:03}", f"n{i + 1:03}") for i in range(90)] + [(f"o{i:03}", f"o{(i + 1) % 70:03}") for i in range(70)] + [("o005", "below"), ("below", "deeper")]
