@@ -154,6 +154,22 @@ TRADE = {
         "MATCH p = shortestPath((a:Supplier {s_suppkey: 1})-[*1..3]-(b:Customer)) RETURN b.c_custkey AS k, length(p) AS len",
         "WITH near AS (SELECT c_custkey FROM customer JOIN supplier ON s_suppkey = 1 AND c_nationkey = s_nationkey), far AS (SELECT DISTINCT o_custkey FROM lineitem l JOIN lineitem m ON m.l_partkey = l.l_partkey JOIN orders ON o_orderkey = m.l_orderkey WHERE l.l_suppkey = 1) SELECT c_custkey AS k, CAST(2 AS BIGINT) AS len FROM near UNION ALL SELECT o_custkey, 3 FROM far WHERE o_custkey NOT IN (SELECT c_custkey FROM near)",
     ),
+    "varlen_next_all": (
+        "MATCH (e:Event)-[:NEXT_EVENT*1..4]->(f:Event) RETURN e.event_id AS a, f.event_id AS b",
+        "WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT a.event_id AS a, b.event_id AS b FROM x a JOIN x b ON a.user_id = b.user_id AND b.i - a.i BETWEEN 1 AND 4",
+    ),
+    "varlen_exact_all": (
+        "MATCH (e:Event)-[r:NEXT_EVENT*3]->(f:Event) RETURN e.event_id AS a, f.event_id AS b, size(r) AS n",
+        "WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT a.event_id AS a, b.event_id AS b, CAST(3 AS BIGINT) AS n FROM x a JOIN x b ON a.user_id = b.user_id AND b.i = a.i + 3",
+    ),
+    "expand_unique_rels_all": (
+        "MATCH (a:Supplier)-[:SUPPLIES]->(p:Part)<-[:SUPPLIES]-(b:Supplier) RETURN a.s_suppkey AS a, count(*) AS n",
+        "WITH s AS (SELECT DISTINCT l_suppkey k, l_partkey p FROM lineitem) SELECT x.k AS a, count(*) AS n FROM s x JOIN s y ON x.p = y.p AND x.k <> y.k GROUP BY 1",
+    ),
+    "shortest_len_all": (
+        "MATCH p = shortestPath((a:Supplier)-[*1..3]-(b:Customer)) RETURN a.s_suppkey AS s, length(p) AS len, count(*) AS n",
+        "WITH near AS (SELECT s_suppkey AS s, c_custkey AS c FROM customer JOIN supplier ON c_nationkey = s_nationkey), far AS (SELECT DISTINCT l.l_suppkey AS s, o_custkey AS c FROM lineitem l JOIN lineitem m ON m.l_partkey = l.l_partkey JOIN orders ON o_orderkey = m.l_orderkey) SELECT s, CAST(2 AS BIGINT) AS len, count(*) AS n FROM near GROUP BY 1 UNION ALL SELECT s, 3, count(*) FROM far WHERE (s, c) NOT IN (SELECT (s, c) FROM near) GROUP BY 1",
+    ),
     "params": ("MATCH (n:Nation) WHERE n.n_nationkey IN $ks RETURN n.n_name AS name", "SELECT n_name AS name FROM nation WHERE n_nationkey IN (2, 4)"),
 }
 PARAMS = {"params": {"ks": [2, 4]}}

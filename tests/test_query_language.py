@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
+from graphloom.cypher import queries
 from graphloom.cypher.ast import QueryError
 from graphloom.cypher.parser import parse
 from graphloom.model import Graph, NodeTable, RelTable
@@ -224,3 +226,27 @@ def test_random_graphs(spark, seed):
     assert sorted(g.query("MATCH p = shortestPath((a)-[*]-(b:A)) RETURN id(a), id(b), length(p)").rows()) == want
     pairs = [(a, b) for a, b in itertools.product(range(n), repeat=2) if nodes[a][3] is not None and nodes[a][3] == nodes[b][3]]
     assert sorted(g.query("MATCH (a), (b) WHERE a.age = b.age RETURN id(a), id(b)").rows()) == pairs
+
+
+def test_loops_from_all_seeds(spark, sf):
+    """The loops from every event and supplier, against plain Python."""
+    run = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, sf).collect()]
+    read = lambda name: pd.read_parquet(f"{sf}/{name}.parquet")
+    chains = [list(g.event_id) for _, g in read("events").sort_values(["ts", "event_id"]).groupby("user_id")]
+    assert sorted(run("q_varlen_next_all")) == sorted((c[i], b) for c in chains for i in range(len(c)) for b in c[i + 1 : i + 5])
+    assert sorted(run("q_varlen_exact_all")) == sorted((c[i], c[i + 3], 3) for c in chains for i in range(len(c) - 3))
+    lines, orders, customers = read("lineitem"), read("orders"), read("customer")
+    parts = lines.groupby("l_suppkey").l_partkey.agg(set)
+    sellers = lines.groupby("l_partkey").l_suppkey.agg(set)
+    assert sorted(run("q_expand_unique_rels_all")) == sorted((s, n) for s, ps in parts.items() if (n := sum(len(sellers[p]) - 1 for p in ps)))
+    placed = dict(zip(orders.o_orderkey, orders.o_custkey))
+    buyers: dict = {}
+    for o, p in zip(lines.l_orderkey, lines.l_partkey):
+        buyers.setdefault(p, set()).add(placed[o])
+    near = customers.groupby("c_nationkey").c_custkey.agg(set)
+    want = []
+    for s, nation in zip(*(read("supplier")[c] for c in ("s_suppkey", "s_nationkey"))):
+        two = near.get(nation, set())
+        three = set().union(*(buyers[p] for p in parts.get(s, ()))) - two
+        want += [(s, k, len(x)) for k, x in ((2, two), (3, three)) if x]
+    assert sorted(run("q_shortest_len_all")) == sorted(want)
