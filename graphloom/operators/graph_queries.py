@@ -58,11 +58,10 @@ def g_label_report(spark, d):
     return analytics.label_report(*_objects(spark, d))
 
 
-def g_betweenness_contains(spark, d):
-    """Betweenness of MemberOf edges between groups, from a sample of 100 sources."""
+def g_edge_betweenness(spark, d):
+    """Betweenness of every edge of the object graph, whatever its type, from a sample of 100 of all nodes as sources."""
     nodes, edges = _objects(spark, d)
-    groups = cut(nodes.where("label = 'Group'"))
-    return analytics.edge_betweenness(groups, analytics.edges_between(edges, groups), types=["MemberOf"]).withColumn("score", F.round("score", 6))
+    return analytics.edge_betweenness(nodes, cut(edges.select("id", "source", "target", "rel_type"))).withColumn("score", F.round("score", 6))
 
 
 def i_edges(spark, d):
@@ -77,7 +76,7 @@ def i_edge_counts(spark, d):
     return i_edges(spark, d).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (g_components, g_reaching, g_reach_report, g_out_neighbours, g_degrees, g_search, g_connections, g_edges_between, g_label_report, g_betweenness_contains, i_edges, i_nodes, i_edge_counts)}
+QUERIES = {f.__name__: f for f in (g_components, g_reaching, g_reach_report, g_out_neighbours, g_degrees, g_search, g_connections, g_edges_between, g_label_report, g_edge_betweenness, i_edges, i_nodes, i_edge_counts)}
 
 _BASE = """
 e AS (SELECT source s, target t, rel_type ty FROM graph_edges WHERE source IS NOT NULL AND target IS NOT NULL AND rel_type IS NOT NULL GROUP BY 1, 2, 3),

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from graphloom.operators import analytics
+from graphloom.operators import analytics, graph_queries
 from graphloom.operators.traverse import bfs, distances
 from graphloom.sources import collector
 
@@ -182,3 +182,13 @@ def test_read_files_and_archives(spark, tmp_path):
     files = collector.read_collector_files(spark, str(tmp_path))
     assert files.count() == 2 and files.select("file_id").distinct().count() == 2
     assert collector.entity_nodes(collector.collector_rows(files)).count() == 4
+
+
+def test_betweenness_of_all_labels_and_types(spark, tmp_path):
+    t = "timestamp'2024-01-01'"
+    spark.sql(f"select * from values (1L, 'u', 'u', 'User'), (2L, 'g', 'g', 'Group'), (3L, 'c', 'c', 'Computer') as n(id, objectid, name, label)").selectExpr("*", f"{t} as loaded_at", "cast(null as timestamp) as deleted_at", "cast(null as string) as properties").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.sql("select 'w' as objectid, 'w' as name, 'Group' as label").write.parquet(f"{tmp_path}/well_known_principals.parquet")
+    links = spark.sql("select * from values (1L, 'u', 'g', 'MemberOf'), (2L, 'g', 'c', 'AdminTo'), (3L, 'c', 'w', 'Contains') as e(edge_id, source, target, rel_type)")
+    links.selectExpr("*", f"{t} as loaded_at", "'{}' as properties").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    got = {r.rel_type: r.score for r in graph_queries.QUERIES["g_edge_betweenness"](spark, str(tmp_path)).collect()}
+    assert got == {"MemberOf": 3.0, "AdminTo": 4.0, "Contains": 3.0}
