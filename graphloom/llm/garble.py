@@ -9,8 +9,8 @@ Two kinds of garbling, both found by precomputed sequences in multi-pattern auto
   where correct text has none.
 * One-byte text read as another one-byte encoding, or as UTF-8 with U+FFFD for what doesn't fit. There a garbled letter is
   just another letter, so the patterns are words: the words with such letters that the corpus itself uses, garbled by all
-  pairs of encodings. A garbled word is a pattern if the corpus holds it, but holds the correct word ``RATIO`` times as
-  often. Word counts cover all documents (pre-aggregated in the scan); pairs are generated and joined distributed, and only
+  pairs of encodings. A garbled word is a pattern if the corpus holds it, but holds the correct word in ``RATIO`` times as
+  many documents as it holds the garbled one in different texts, so reposts of a garbled text don't hide it. Word counts cover all documents (pre-aggregated in the scan); pairs are generated and joined distributed, and only
   garbled words that do occur reach the automaton, in blocks of at most ``BLOCK`` words, one pass each.
 
 Only matched spans are replaced. C1 control characters beside letters and U+FFFD mark a text as garbled even where
@@ -258,25 +258,31 @@ def tokens_of(text: str) -> set[str]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """token, n: number of documents with the token; counted within each task before the shuffle."""
+    """token, n: number of documents with the token, n_texts: number of different texts; counted within each task before the shuffle."""
+    key = [F.xxhash64("text"), F.hash("text"), F.length("text")]
+    texts = texts.toDF("text").where("length(text) < octet_length(text)").groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        different: Counter[str] = Counter()
 
         def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([different[t] for t in counts], pa.int64())], ["token", "n", "n_texts"])
             counts.clear()
+            different.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and not text.isascii():
-                    counts.update(t for t in tokens_of(text) if len(t) < 60)
-                    if len(counts) > _FLUSH:
-                        yield from flush()
+            for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = [t for t in tokens_of(text) if len(t) < 60]
+                different.update(tokens)
+                for t in tokens:
+                    counts[t] += copies
+                if len(counts) > _FLUSH:
+                    yield from flush()
         if counts:
             yield from flush()
 
-    return texts.mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "token string, n bigint, n_texts bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
 
 
 def garblings(word: str) -> set[str]:
@@ -308,8 +314,8 @@ def garbled_words(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
                 g, w, n = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], ["garbled", "right", "n"])
 
-    forms = counts.where("n >= 2").mapInArrow(run, "garbled string, right string, n bigint")
-    held = counts.select(F.col("token").alias("garbled"), F.col("n").alias("held"))
+    forms = counts.where("n >= 2").select("token", "n").mapInArrow(run, "garbled string, right string, n bigint")
+    held = counts.select(F.col("token").alias("garbled"), F.col("n_texts").alias("held"))
     return forms.join(held, "garbled").where(F.col("n") >= F.lit(ratio) * F.col("held")).groupBy("garbled").agg(F.max_by("right", F.struct("n", "right")).alias("right"))
 
 

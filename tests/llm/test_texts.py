@@ -221,3 +221,11 @@ def test_garbled_documents(spark):
     assert all(r.restored for r in got.values())
     assert sorted(r.doc_id for r in garble.garbled_documents(docs, block=2).collect()) == sorted(got)
     assert garble.garbled_documents(docs.limit(0)).count() == 0
+
+
+def test_reposts_of_a_garbled_text(spark):
+    right = [(i, f"Die Prüfung {i} der Schlüssel") for i in range(4)]
+    wrong = "Eine Prüfung ohne Schlüssel".encode("cp1252").decode("mac_roman")
+    docs = spark.createDataFrame(right + [(10 + i, wrong) for i in range(30)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in garble.garbled_documents(docs).collect()}
+    assert got == {10 + i: "Eine Prüfung ohne Schlüssel" for i in range(30)}
