@@ -60,6 +60,11 @@ _WORD_LETTERS = set(LATIN + CYRILLIC + _BOXES + "“”„‘’‚–—…")
 _UNIT = re.compile("[°µ][A-Za-z]+")
 _KANA = [chr(c) for c in (*range(0x3041, 0x3094), *range(0x30A1, 0x30F7), 0x30FC)]
 TWO_BYTE = ["cp932", "euc_jp"]
+WIDE_READERS = ["cp932", "gbk", "euc_jp"]
+_WIDE_RUN = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uff00-\uff9f][^\x00-\x7f\ufffd]*")
+_KANA_OR_CYRILLIC = re.compile("[\u0410-\u044fЁё\u3041-\u30fc]")
+_LEADS = {"cp932": re.compile("[縺繧繝][^\x00-\x7f]{0,3}[縺繧繝]"), "gbk": re.compile("[銇銈銉][^\x00-\x7f]{0,3}[銇銈銉]")}  # E3 81 to E3 83
+_RIGHT = set(LATIN + SIGNS + CYRILLIC + GREEK)
 
 
 def _read(raw: bytes, encoding: str) -> str:
@@ -118,7 +123,9 @@ def sequences() -> ahocorasick.Automaton:
             garbled = "".join(readings[b] for b in ch.encode())
             context = _context(garbled, False)
             if encoding in CYRILLIC_READERS and all(c.isalpha() for c in garbled):
-                continue
+                if ch not in LATIN:  # stands among Cyrillic letters, as correct text does
+                    continue
+                context = "mixed"
             table.setdefault(garbled, ({}, context))[0].setdefault(encoding, ch)
     for garbled, (by_reader, _) in list(table.items()):
         small = garbled.lower()
@@ -161,13 +168,65 @@ def hits_of(text: str) -> list[tuple[int, int, dict[str, str], str]]:
     return [(end + 1 - n, end + 1, by_reader, context) for end, (n, by_reader, context) in sequences().iter_long(text)]
 
 
+def _mixed_spans(text: str, hits: list) -> list[tuple[int, int, str]]:
+    """Sequences of letters only, of Cyrillic readers: they count inside a Latin word in lower case."""
+    out = []
+    votes = Counter(e for h in hits for e in h[2] if e in CYRILLIC_READERS)
+    starts, ends = {h[0] for h in hits}, {h[1] for h in hits}
+    for start, end, by_reader, context in hits:
+        if context == "mixed":
+            before, after = text[max(0, start - 1) : start], text[end : end + 1]
+            touched = any(c.islower() and _latin(c) for c in (before, after) if c)
+            if touched and (start in ends or not _CYRILLIC.match(before)) and (end in starts or not _CYRILLIC.match(after)):
+                out.append((start, end, by_reader[max(by_reader, key=lambda e: (votes[e], by_reader[e] in COMMON))]))  # noqa: B023
+    return out
+
+
+def _whole(raw: bytes) -> str:
+    """Bytes read as UTF-8, without a last character that is cut off; empty if they aren't UTF-8."""
+    for cut_off in range(4):
+        try:
+            return raw[: len(raw) - cut_off].decode()
+        except UnicodeDecodeError as e:
+            if e.reason != "unexpected end of data":
+                return ""
+    return ""
+
+
+def wide_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of UTF-8 read as a two-byte encoding: three letters or more, or lower-case Latin letters inside a Latin word."""
+    out = []
+    for m in _WIDE_RUN.finditer(text):
+        run, (start, end) = m.group(), m.span()
+        for reader in WIDE_READERS:
+            try:
+                right = _whole(run.encode(reader))
+            except UnicodeEncodeError:
+                continue
+            if not right or not all(c in _RIGHT or _WIDE.match(c) for c in right):
+                continue
+            touched = any(c and c.isascii() and c.islower() for c in (text[max(0, start - 1) : start], text[end : end + 1]))
+            if len(right) >= 3 and any(_KANA_OR_CYRILLIC.match(c) for c in right) or touched and all(c in LATIN and c.islower() for c in right):
+                out.append((start, end, right))
+                break
+        else:
+            for reader, lead in _LEADS.items():  # characters lost: found, but not restored
+                if lead.search(run):
+                    out.append((start, end, run.encode(reader, "ignore").decode(errors="replace")))
+                    break
+    return out
+
+
 def spans(text: str, words: ahocorasick.Automaton | None = None, hits: list | None = None) -> list[tuple[int, int, str]]:
     """(start, end, original) of the garbled spans, in order and without overlap.
 
     Where readers differ about a sequence, the reader that explains most sequences of the text decides."""
     found = []
     hits = hits_of(text) if hits is None else hits
-    votes = Counter(e for h in hits for e in h[2])
+    votes = Counter(e for h in hits for e in h[2] if h[3] != "mixed")
+    if any(h[3] == "mixed" for h in hits):
+        mixed, hits = _mixed_spans(text, hits), [h for h in hits if h[3] != "mixed"]
+        found += mixed
     for k, (start, end, by_reader, context) in enumerate(hits):
         ch = by_reader[max(by_reader, key=lambda e: (votes[e], by_reader[e] in COMMON))]  # noqa: B023
         before, after = text[start - 1 : start], text[end : end + 1]
@@ -186,6 +245,8 @@ def spans(text: str, words: ahocorasick.Automaton | None = None, hits: list | No
             ok = True
         if ok:
             found.append((start, end, ch))
+    found += wide_spans(text)
+    found.sort()
     if words is not None and len(words):
         taken = set()
         for end, (n, right) in words.iter(text):

@@ -229,3 +229,20 @@ def test_reposts_of_a_garbled_text(spark):
     docs = spark.createDataFrame(right + [(10 + i, wrong) for i in range(30)], "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in garble.garbled_documents(docs).collect()}
     assert got == {10 + i: "Eine Prüfung ohne Schlüssel" for i in range(30)}
+
+
+@pytest.mark.parametrize("text, reader", [("für", "iso8859-5"), ("año", "iso8859-5"), ("mañana não", "iso8859-5"), ("não", "koi8-r"), ("corazón", "koi8-r"), ("mąż", "mac_cyrillic"), ("für dich", "gbk"), ("für", "cp932"), ("año", "euc_jp")])
+def test_letters_read_by_cyrillic_and_two_byte_readers(text, reader):
+    garbled = text.encode().decode(reader)
+    assert garbled != text and garble.repair(garbled)[0] == text
+
+
+@pytest.mark.parametrize("reader", ["cp932", "gbk"])
+def test_kana_read_by_two_byte_readers(reader):
+    text = "これはテスト"
+    assert garble.repair("a: " + text.encode().decode(reader, "ignore") + " b")[1]
+
+
+@pytest.mark.parametrize("text", ["Её идёт ещё цёлый", "SQLдёшево, её API", "日本語のテキスト、管理者権限", "AD管理者とPC毎の目", "TV画面 user名 id毎", "ﾃｽﾄ ｶﾅ", "縺れた糸"])
+def test_correct_text_of_such_letters(text):
+    assert garble.spans(text) == []
