@@ -82,12 +82,13 @@ class Entities:
     def __len__(self) -> int:
         return len(self.column.obj_at)
 
-    def levels(self) -> Iterator[shred.Level]:
+    def levels(self, plain: bool = False) -> Iterator[shred.Level]:
+        """The arrays' levels that hold objects; with ``plain`` those that hold only other elements too."""
         rows = pa.array(np.arange(len(self)))
         for name, (some, field) in self.column.fields.items():
             if field.items is not None or field.fields:
                 for level in shred.array_items(field, rows if some is None else rows.take(pa.array(some)), (name,)):
-                    if len(level.items.obj_at):
+                    if len(level.items.obj_at) or plain and level.items.n:
                         yield level
 
 
@@ -109,6 +110,33 @@ def nested_items(df: DataFrame, id_col: str = "file_id", content_col: str = "con
     return _map_documents(df, id_col, content_col, "file_id bigint, entity_pos int, array_path string, item_pos string, parent_path string, parent_pos string", emit)
 
 
+def all_items(df: DataFrame, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
+    """All kinds of nested array in one pass: one row for each element of an array at any depth inside an entity.
+
+    array_path tells the kinds apart and parent_path/parent_pos link a row to the element it lies in, as in ``nested_items``.
+    ``fields``: all fields of an object as text (null for other elements), without those that are arrays, which have rows of
+    their own; ``value``: a plain element as text. Arrays directly in an array have no row, only their elements."""
+
+    def emit(ids, docs):
+        entities = Entities(ids, docs)
+        for level in entities.levels(plain=True):
+            keep = np.ones(level.items.n, bool)
+            keep[level.items.arr_at] = False
+            at = pa.array(np.flatnonzero(keep))
+            who, n = level.owner.take(at), len(at)
+            above = pa.array([""] * n, pa.string()) if level.outer_pos is None else level.outer_pos.take(at)
+            paths = [pa.array([".".join(p)] * n, pa.string()) for p in (level.path, level.outer)]
+            values = [level.items.values[i] for i in at.to_pylist()]
+            kinds = [shred.KIND_NAMES[shred.kind_of(v)] for v in values]
+            fields = [[(shred.scalar_text(k), shred.scalar_text(x)) for k, x in v.items() if type(x) is not list] if type(v) is dict else None for v in values]
+            plain = [None if type(v) is dict else v for v in values]
+            columns = [entities.file_id.take(who), entities.pos.take(who), paths[0], level.item_pos.take(at), paths[1], above, pa.array(kinds, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string())), _texts(plain)]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "entity_pos", "array_path", "item_pos", "parent_path", "parent_pos", "kind", "fields", "value"])
+
+    schema = "file_id bigint, entity_pos int, array_path string, item_pos string, parent_path string, parent_pos string, kind string, fields map<string,string>, value string"
+    return _map_documents(df, id_col, content_col, schema, emit)
+
+
 def child_table(df: DataFrame, array_path: str, fields: list[str], names: list[str] | None = None, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
     """The flat table of one kind of nested array: keys of the parent and the named fields as text.
 

@@ -34,6 +34,10 @@ def p1_local_group_members(spark, d):
     return nested.child_table(table(spark, d, "collector_files"), "LocalGroups.Results", ["ObjectIdentifier", "ObjectType"])
 
 
+def p1_items(spark, d):
+    return nested.all_items(table(spark, d, "collector_files"))
+
+
 def p2_found(spark, d):
     return hierarchy.hierarchy(_contains(spark, d), "source", "target", with_path=False).select(F.col("node").alias("objectid"), "root_id", "depth")
 
@@ -81,7 +85,7 @@ def p5_summary(spark, d):
     return found.select("target", "rel_type", "n_rows", "n_distinct", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p2_found, p2_hierarchy, p2_descendants, p2_descendants_all, p3_found, p3_report, p4_found, p4_trusts, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p1_items, p2_found, p2_hierarchy, p2_descendants, p2_descendants_all, p3_found, p3_report, p4_found, p4_trusts, p5_found, p5_summary)}
 
 _REFS = """
 n AS (SELECT DISTINCT * FROM nodes), e AS (SELECT DISTINCT * FROM graph_edges),

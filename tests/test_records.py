@@ -81,6 +81,32 @@ def test_nested_edge_cases(spark):
     assert nested.entities(df, ["A.Results"]).where("file_id = 1").count() == 2
 
 
+def all_elements(value, path, pos):
+    if isinstance(value, list):
+        for i, x in enumerate(value):
+            if not isinstance(x, list):
+                fields = {k: shred.scalar_text(v) for k, v in x.items() if not isinstance(v, list)} if isinstance(x, dict) else None
+                yield ".".join(path), ".".join([*pos, str(i)]), fields, None if isinstance(x, dict) else shred.scalar_text(x)
+            yield from all_elements(x, path, [*pos, str(i)])
+    elif isinstance(value, dict):
+        for k, x in value.items():
+            yield from all_elements(x, [*path, k], pos)
+
+
+def test_all_items_of_test_data(spark, sf):
+    key = lambda r: repr((*r[:4], sorted(r[4].items()) if r[4] is not None else None, r[5]))
+    want = [
+        (r.file_id, i, *x)
+        for r, doc in documents(sf)
+        for i, e in enumerate(doc["data"] if isinstance(doc.get("data"), list) else [])
+        if isinstance(e, dict)
+        for x in all_elements(e, [], [])
+    ]
+    got = [tuple(r) for r in queries.p1_items(spark, sf).select("file_id", "entity_pos", "array_path", "item_pos", "fields", "value").collect()]
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert sum(r[2] == "Properties.serviceprincipalnames" and r[5] is not None for r in got)
+
+
 def test_parse_is_strict():
     assert shred.parse("[Infinity]") is shred.INVALID and shred.parse("﻿﻿1") is shred.INVALID and shred.parse("null") is None
     assert shred.parse("[" * 100_000) is shred.INVALID
