@@ -141,6 +141,14 @@ SELECT file_id, CAST(regexp_extract(key, '^\\$\\.data\\[(\\d+)\\]', 1) AS INTEGE
     "p1_files": f"WITH {_DOCS} SELECT file_id, json_valid(c) AS valid, CASE WHEN json_valid(c) THEN lower(c->>'$.meta.type') END AS data_type, CASE WHEN json_valid(c) THEN c->>'$.meta.version' END AS version, CASE WHEN json_valid(c) THEN CAST(json_array_length(c->'data') AS INTEGER) ELSE 0 END AS n_elements, CASE WHEN json_valid(c) THEN CAST(len(list_filter(json_transform(c->'data', '[\"JSON\"]'), lambda x: json_type(x) = 'OBJECT')) AS INTEGER) ELSE 0 END AS n_entities FROM f",
     "p2_descendants": f"WITH RECURSIVE {_CLOSURE} SELECT anc AS ancestor, node, CAST(dist AS INTEGER) AS distance FROM down WHERE node NOT IN (SELECT node FROM bad)",
     "p2_descendants_all": f"WITH RECURSIVE {_CLOSURE} SELECT anc AS ancestor, node, CAST(min(dist) AS INTEGER) AS distance FROM down WHERE anc <> node GROUP BY 1, 2",
+    "p2_hierarchy": f"""WITH RECURSIVE {_CLOSURE},
+below AS (SELECT anc AS node, count(DISTINCT node) AS n FROM down WHERE anc <> node GROUP BY 1),
+v AS (SELECT node FROM l UNION SELECT parent FROM l),
+t(node, root_id, depth, path) AS (SELECT node, node, 0, node FROM v WHERE node NOT IN (SELECT node FROM l) UNION ALL SELECT l.node, root_id, depth + 1, path || '/' || l.node FROM t JOIN l ON l.parent = t.node),
+far AS (SELECT DISTINCT node, anc FROM down WHERE dist = 400),
+loops AS (SELECT far.node, min(least(far.anc, o.anc)) AS root_id FROM far JOIN down o ON o.node = far.anc GROUP BY far.node),
+every AS (SELECT node, root_id, depth, path FROM t UNION ALL SELECT node, root_id, -1, NULL FROM loops)
+SELECT every.node AS objectid, root_id, CAST(depth AS INTEGER) AS depth, coalesce(n, 0) + 1 AS subtree_size, path FROM every LEFT JOIN below ON below.node = every.node""",
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT node AS objectid, root_id, CAST(depth AS INTEGER) AS depth FROM roots UNION ALL SELECT node, root_id, -1 FROM loops",
     "p3_found": f"WITH {_REFS} SELECT edge_id, endpoint, kind FROM o",
     "p3_report": f"WITH {_REFS} SELECT 'graph_edges' AS table_name, endpoint, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n_orphans FROM o GROUP BY ALL",

@@ -4,6 +4,8 @@ import json
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,14 @@ def expected_hierarchy(links):
     return sorted(out, key=lambda r: r[0])
 
 
+def expected_sizes(links):
+    """Every node with all nodes below it, itself included once."""
+    below = {x: {x} for x in {n for link in links if None not in link for n in link}}
+    for anc, node, _ in expected_descendants(links):
+        below[anc].add(node)
+    return {x: len(b) for x, b in below.items()}
+
+
 LINKS = [("r", "a"), ("r", "a"), ("r", "b"), ("a", "c"), ("c", "d"), ("s", "s"), ("s", "t"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "v"), (None, "q"), ("q", None), ("m2", "k"), ("m1", "k"), ("", "e")]
 
 
@@ -138,7 +148,7 @@ def test_hierarchy(spark, local_rows):
     h = hierarchy.hierarchy(spark.createDataFrame(links, "p string, node string"), "p", "node", local_rows=local_rows)
     got = sorted(((r.node, r.root_id, r.depth, r.path) for r in h.collect()), key=lambda r: r[0])
     assert got == expected_hierarchy(links)
-    assert {r.node: r.subtree_size for r in h.collect() if r.depth == 0}["r"] == 5
+    assert {r.node: r.subtree_size for r in h.collect()} == expected_sizes(links)
     assert rows(hierarchy.descendants(h).where("ancestor = 'r'")) == [("r", "a", 1), ("r", "b", 1), ("r", "c", 2), ("r", "d", 3)]
 
 
@@ -180,7 +190,22 @@ def test_hierarchy_of_long_chains(spark, with_path):
     h = hierarchy.hierarchy(spark.createDataFrame(links, "p string, c string"), "p", "c", with_path=with_path, local_rows=0, slow_rounds=1)
     got = sorted(((r.node, r.root_id, r.depth, r.path if with_path else None) for r in h.collect()), key=lambda r: r[0])
     assert got == [(*x[:3], x[3] if with_path else None) for x in expected_hierarchy(links)]
-    assert h.where("subtree_size is null and depth > 50").count() and h.where("subtree_size is null and depth = -1").count()
+    assert {r.node: r.subtree_size for r in h.collect()} == expected_sizes(links)
+
+
+def test_paths_of_long_chains_come_in_chunks():
+    n = 30_000
+    ids = [f"{i:05}" for i in range(n)]
+    table = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None, *ids[:-1]]), pa.array([1] * n)], ["node", "parent", "size"])
+    total = most = 0
+    for k, batch in enumerate(hierarchy._peel_locally(True)(iter([table]))):
+        lengths = pc.list_value_length(batch.column("path")).to_pylist()
+        total, most = total + batch.num_rows, max(most, sum(lengths))
+        assert lengths == [d + 1 for d in batch.column("depth").to_pylist()]
+        assert batch.column("path")[0].as_py() == ids[: lengths[0]]
+        if k == 40:
+            break
+    assert total > 4000 and most <= hierarchy._STEPS
 
 
 def test_hierarchy_empty(spark):
