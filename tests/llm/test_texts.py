@@ -95,6 +95,29 @@ def test_pack_documents(spark):
         assert (cut[cut.container.str.startswith("d")].tokens == cap).all()
 
 
+def test_packing_of_large_windows(spark):
+    data = [(1, 524_288), (2, 1_000_000), (3, 3_500_000), (4, 1), (5, 475_712), (6, 1_000_001)]
+    sizes = spark.createDataFrame(data, "doc_id bigint, tokens bigint")
+    packed = packing.pack(sizes, [("m", 1_000_000), ("x", 4_000_000), ("y", 4_000_000)]).toPandas()
+    for window, cap in (("m", 1_000_000), ("x", 4_000_000), ("y", 4_000_000)):
+        mine = packed[packed.window_id == window]
+        assert mine.groupby("doc_id").tokens.sum().to_dict() == dict(data)
+        assert mine.groupby("container").tokens.sum().max() <= cap
+    assert packed[packed.window_id == "m"].container.nunique() == 7
+    with pytest.raises(ValueError):
+        packing.pack(sizes, [("z", 1 << 23)])
+
+
+def test_reduction_and_validity_reports(spark):
+    sizes = spark.createDataFrame([(i, t) for i, t in enumerate([7, 3, 5, 5, 4, 6, 0, 23])], "doc_id bigint, tokens bigint")
+    windows = spark.createDataFrame([("a", 10)], "window_id string, capacity_tokens int")
+    assert rows(packing.reduction_report(sizes, windows)) == [("a", 7, 7)]
+    packed = packing.pack(sizes, [("a", 10)])
+    assert rows(packing.validity(packed, sizes, windows)) == [("a", 8, 0, 0, 0, 0, 0)]
+    wrong = packed.where("doc_id <> 3").unionByName(packed.where("doc_id = 1"))
+    assert rows(packing.validity(wrong, sizes, windows))[0][2:5:2] == (1, 1)
+
+
 def test_packing_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id bigint, tokens bigint")
     assert packing.pack(empty, [("a", 5)]).count() == 0 and packing.pack(empty, []).count() == 0
