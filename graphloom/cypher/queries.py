@@ -170,6 +170,44 @@ TRADE = {
         "MATCH p = shortestPath((a:Supplier)-[*1..3]-(b:Customer)) RETURN a.s_suppkey AS s, length(p) AS len, count(*) AS n",
         "WITH near AS (SELECT s_suppkey AS s, c_custkey AS c FROM customer JOIN supplier ON c_nationkey = s_nationkey), far AS (SELECT DISTINCT l.l_suppkey AS s, o_custkey AS c FROM lineitem l JOIN lineitem m ON m.l_partkey = l.l_partkey JOIN orders ON o_orderkey = m.l_orderkey) SELECT s, CAST(2 AS BIGINT) AS len, count(*) AS n FROM near GROUP BY 1 UNION ALL SELECT s, 3, count(*) FROM far WHERE (s, c) NOT IN (SELECT (s, c) FROM near) GROUP BY 1",
     ),
+    "pred_strings_found": (
+        "MATCH (p:Part) WHERE p.p_name STARTS WITH 'blue' AND p.p_name CONTAINS 'e b' AND NOT p.p_name ENDS WITH 'x' RETURN p.p_partkey AS k, p.p_name AS name",
+        "SELECT p_partkey AS k, p_name AS name FROM part WHERE starts_with(p_name, 'blue') AND contains(p_name, 'e b') AND NOT ends_with(p_name, 'x')",
+    ),
+    "pred_bare_booleans": (
+        "MATCH (c:Customer) WITH c, c.c_acctbal > 0 AS good WHERE good AND true AND NOT false RETURN c.c_custkey AS k, good",
+        "SELECT c_custkey AS k, true AS good FROM customer WHERE c_acctbal > 0",
+    ),
+    "id_lookup": (
+        "MATCH (n:Nation) WITH n, id(n) AS i MATCH (m:Nation) WHERE id(m) = i RETURN n.n_nationkey AS a, m.n_nationkey AS b, i = id(m) AS same",
+        "SELECT n_nationkey AS a, n_nationkey AS b, true AS same FROM nation",
+    ),
+    "default_names": ("MATCH (n:Nation) RETURN n.n_name, n.n_nationkey % 3, count(*)", 'SELECT n_name AS "n.n_name", n_nationkey % 3 AS "n.n_nationkey % 3", count(*) AS "count(*)" FROM nation GROUP BY ALL'),
+    "return_star": ("MATCH (n:Nation) WITH n.n_name AS name, n.n_nationkey AS k RETURN *", "SELECT n_name AS name, n_nationkey AS k FROM nation"),
+    "literals": (
+        "MATCH (r:Region) RETURN r.r_regionkey AS k, 1 AS i, -2.5 AS f, 1e3 AS e, 'it\\'s' AS q, \"a\\tb\" AS t, true AS b, null IS NULL AS n, size([1, 2, 3]) AS l, {a: 1, b: 'x'}.b AS m, 0x1F AS h",
+        "SELECT r_regionkey AS k, CAST(1 AS BIGINT) AS i, -2.5::DOUBLE AS f, 1000::DOUBLE AS e, 'it''s' AS q, 'a' || chr(9) || 'b' AS t, true AS b, true AS n, CAST(3 AS BIGINT) AS l, 'x' AS m, CAST(31 AS BIGINT) AS h FROM region",
+    ),
+    "varlen_unique": (
+        "MATCH (a:Nation {n_nationkey: 3})-[r:IN_REGION]-(b:Region)-[:IN_REGION*1..2]-(c:Nation) RETURN c.n_nationkey AS k, count(*) AS n",
+        "SELECT n_nationkey AS k, count(*) AS n FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) AND n_nationkey <> 3 GROUP BY 1",
+    ),
+    "varlen_unique_all": (
+        "MATCH (a:Nation)-[r:IN_REGION]-(b:Region)-[:IN_REGION*1..2]-(c:Nation) RETURN a.n_nationkey AS a, count(*) AS n",
+        "SELECT a.n_nationkey AS a, count(*) AS n FROM nation a JOIN nation c ON a.n_regionkey = c.n_regionkey AND a.n_nationkey <> c.n_nationkey GROUP BY 1",
+    ),
+    "shortest_all_paths": (
+        "MATCH p = allShortestPaths((s:Supplier)-[:SUPPLIES|CONTAINS*1..3]-(o:Order {o_orderstatus: 'P'})) RETURN s.s_suppkey AS s, length(p) AS len, count(*) AS n",
+        "SELECT l.l_suppkey AS s, CAST(2 AS BIGINT) AS len, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l JOIN lineitem m ON m.l_partkey = l.l_partkey JOIN orders ON o_orderkey = m.l_orderkey AND o_orderstatus = 'P' GROUP BY 1",
+    ),
+    "shortest_target_props": (
+        "MATCH p = shortestPath((r:Region)-[*1..2]-(s:Supplier {s_nationkey: 15})) RETURN r.r_name AS r, s.s_suppkey AS s, length(p) AS len",
+        "SELECT r_name AS r, s_suppkey AS s, CAST(2 AS BIGINT) AS len FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_nationkey = 15",
+    ),
+    "shortest_segments": (
+        "MATCH (r:Region), (s:Supplier) WHERE r.r_regionkey > 0 AND s.s_acctbal > 0 MATCH p = shortestPath((r)-[:IN_REGION|IN_NATION*1..4]-(s)) RETURN r.r_name AS r, length(p) AS len, count(*) AS n",
+        "SELECT r_name AS r, CAST(2 AS BIGINT) AS len, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey > 0 AND s_acctbal > 0 GROUP BY 1",
+    ),
     "params": ("MATCH (n:Nation) WHERE n.n_nationkey IN $ks RETURN n.n_name AS name", "SELECT n_name AS name FROM nation WHERE n_nationkey IN (2, 4)"),
 }
 PARAMS = {"params": {"ks": [2, 4]}}
@@ -188,6 +226,18 @@ OBJECTS = {
         f"WITH {_EDGES} SELECT a.label, count(DISTINCT s) AS n FROM e JOIN o a ON a.objectid = s JOIN o b ON b.objectid = t AND b.label = 'Computer' WHERE ty IN ('AdminTo', 'CanRDP') GROUP BY 1",
     ),
     "objects_suffix": ("MATCH (g:Group) WHERE g.objectid ENDS WITH '-512' OR g.objectid ENDS WITH '-519' RETURN g.objectid AS id", f"WITH {_EDGES} SELECT objectid AS id FROM o WHERE label = 'Group' AND (ends_with(objectid, '-512') OR ends_with(objectid, '-519'))"),
+    "objects_suffix_found": (
+        "MATCH (g:Group) WHERE g.objectid ENDS WITH '1' OR g.objectid ENDS WITH '-S-1-5-11' RETURN g.objectid AS id",
+        f"WITH {_EDGES} SELECT objectid AS id FROM o WHERE label = 'Group' AND (ends_with(objectid, '1') OR ends_with(objectid, '-S-1-5-11'))",
+    ),
+    "objects_shortest_risk": (
+        "MATCH (d:Domain), (c:Computer) MATCH p = shortestPath((d)-[:Contains*1..4]->(c)) WHERE ALL(r IN relationships(p) WHERE r.exploit_likelihood >= 0.1) RETURN d.objectid AS d, length(p) AS len, count(*) AS n",
+        # every object has one container, so there is one path
+        f"""WITH RECURSIVE {_EDGES}, c AS (SELECT source s, target t, arg_min(try_cast(json_extract_string(properties, '$.exploit_likelihood') AS DOUBLE) IS NOT NULL AND try_cast(json_extract_string(properties, '$.exploit_likelihood') AS DOUBLE) >= 0.1, (loaded_at, edge_id)) AS ok
+             FROM graph_edges WHERE rel_type = 'Contains' AND source IS NOT NULL AND target IS NOT NULL GROUP BY 1, 2),
+        w(s, t, d, ok) AS (SELECT s, t, 1, ok FROM c UNION SELECT w.s, c.t, d + 1, w.ok AND c.ok FROM w JOIN c ON c.s = w.t WHERE d < 4), m AS (SELECT s, t, min(d) AS d, arg_min(ok, d) AS ok FROM w GROUP BY 1, 2)
+        SELECT s AS d, CAST(d AS BIGINT) AS len, count(*) AS n FROM m JOIN o a ON a.objectid = s AND a.label = 'Domain' JOIN o b ON b.objectid = t AND b.label = 'Computer' WHERE ok GROUP BY s, m.d""",
+    ),
     "objects_members_varlen": (
         "MATCH (u:User)-[:MemberOf*1..3]->(g:Group) RETURN g.objectid AS id, count(u) AS n",
         f"WITH RECURSIVE {_EDGES}, w(s, t, d) AS (SELECT s, t, 1 FROM e WHERE ty = 'MemberOf' UNION SELECT w.s, e.t, d + 1 FROM w JOIN e ON e.s = w.t AND e.ty = 'MemberOf' WHERE d < 3) SELECT t AS id, count(DISTINCT w.s) AS n FROM w JOIN o a ON a.objectid = w.s AND a.label = 'User' JOIN o b ON b.objectid = w.t AND b.label = 'Group' WHERE w.s <> w.t GROUP BY 1",

@@ -19,31 +19,46 @@ class ResourceLimitError(RuntimeError):
     """A frontier or result grew beyond its limit."""
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths: bool = False, every: bool = False, pairs: DataFrame | None = None, targets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths: bool = False, every: bool = False, pairs: DataFrame | None = None, targets: DataFrame | None = None, limit: int | None = None, taken: bool = False) -> DataFrame:
     """seed, node, depth (and nodes, rels): every node reached from a seed, once, at its least depth, the seed left out.
 
     ``edges``: src, dst and, for ``paths``, rel. ``every``: all shortest paths instead of one. ``pairs`` (seed, node) or
     ``targets`` (node) limit the result; with ``pairs`` a seed stops once all its targets are found. ``limit``: largest
-    frontier allowed. Among equal paths the one with the smallest relationship ids is kept."""
+    frontier allowed. Among equal paths the one with the smallest relationship ids is kept. ``taken``: a seed is a struct of
+    its node and the relationships (id, rel_type) its search may not take."""
     edges = edges.where("src is not null and dst is not null")
     # not partitioned by src ahead: a hot source would then stay one task, while a shuffle per level can be split (AQE)
-    edges = (edges if paths else edges.select("src", "dst")).persist()
+    edges = (edges if paths or taken else edges.select("src", "dst")).persist()
+    try:
+        return _levels(edges, seeds, low, high, paths, every, pairs, targets, limit, taken)
+    finally:
+        edges.unpersist()
+
+
+def _levels(edges: DataFrame, seeds: DataFrame, low: int, high: int, paths: bool, every: bool, pairs: DataFrame | None, targets: DataFrame | None, limit: int | None, taken: bool) -> DataFrame:
+    node = "seed.node" if taken else "seed"
     most = SMALL_FRONTIER // 20 if paths else SMALL_FRONTIER
-    first = seeds.select("seed").where("seed is not null").distinct()
-    start = [F.col("seed"), F.col("seed").alias("node")]
+    first = seeds.select("seed").where(f"{node} is not null").distinct()
+    start = [F.col("seed"), F.col(node).alias("node")]
     if paths:
         rel = edges.schema["rel"].dataType.simpleString()
-        start += [F.array("seed").alias("nodes"), F.expr(f"cast(array() as array<{rel}>)").alias("rels")]
+        start += [F.array(node).alias("nodes"), F.expr(f"cast(array() as array<{rel}>)").alias("rels")]
     frontier = cut(first.select(*start))
     visited, levels = frontier.select("seed", "node"), []
     waiting = None if pairs is None else cut(pairs.select("seed", "node").distinct())
     depth, n = 0, frontier.count()
+    wanted = None if targets is None else targets.select("node").where("node is not null").distinct()
+    missing = None
+    if wanted is not None and n <= SMALL_FRONTIER:  # all seeds times all targets: the search ends once it has them
+        wanted = cut(wanted)
+        missing = n * wanted.count()
     while depth < high:
         depth += 1
         out = ["seed", F.col("dst").alias("node")]
         if paths:
             out += [F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels")]
-        step = edges.join(_ahead(frontier, n, most), F.col("node") == F.col("src")).select(*out)
+        free = ~F.exists("seed.taken", lambda t: (t["id"] == F.col("rel.id")) & (t["rel_type"] == F.col("rel.rel_type"))) if taken else F.lit(True)
+        step = edges.join(_ahead(frontier, n, most), F.col("node") == F.col("src")).where(free).select(*out)
         step = step.join(visited, ["seed", "node"], "left_anti")
         if not paths:
             step = step.distinct()
@@ -64,9 +79,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
             if not waiting.limit(1).count():
                 break
             frontier = frontier.join(waiting.select("seed").distinct(), "seed", "left_semi")  # n stays an upper bound
+        if missing:
+            missing -= frontier.join(wanted, "node", "left_semi").select("seed", "node").distinct().count()
+            if not missing:
+                break
         if depth % 8 == 0:
             visited = cut(visited)
-    edges.unpersist()
     if not levels:
         levels = [frontier.where(F.lit(False)).withColumn("depth", F.lit(0))]
     found = levels[0]
@@ -75,7 +93,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int = 100, paths
     if pairs is not None:
         found = found.join(pairs.select("seed", "node").distinct(), ["seed", "node"], "left_semi")
     if targets is not None:
-        found = found.join(targets.select("node").distinct(), "node", "left_semi")
+        found = found.join(wanted, "node", "left_semi")
     return found
 
 

@@ -54,10 +54,25 @@ class Bound:
 
 @dataclass
 class State:
-    """Bindings so far; ``df`` None stands for one row without variables."""
+    """Bindings so far; ``df`` None stands for one row without variables.
+
+    ``factors``: as long as ``df`` is nothing but the cross join ``product`` of independent parts, those parts."""
 
     df: DataFrame | None = None
     scope: dict[str, Bound] = field(default_factory=dict)
+    factors: list[State] = field(default_factory=list)
+    product: DataFrame | None = None
+
+    def parts(self) -> list[State]:
+        return self.factors if self.factors and self.product is self.df else []
+
+    def times(self, other: State) -> State:
+        """The cross join with an independent part; the parts are kept, so a search between them needs no product."""
+        if self.df is None:
+            return State(other.df, {**self.scope, **other.scope})
+        factors = [*(self.parts() or [State(self.df, self.scope)]), other]
+        df = self.df.crossJoin(other.df)
+        return State(df, {**self.scope, **other.scope}, factors, df)
 
     def vals(self) -> dict[str, Val]:
         return {n: b.val() for n, b in self.scope.items()}
@@ -213,7 +228,8 @@ class Executor:
         waiting = conjuncts(clause.where)
         state, waiting = self._ready(state, waiting)
         rels: list[tuple[Bound, set[str] | None]] = []
-        for path in clause.paths:
+        # searches last, so that they know which relationships are taken
+        for path in sorted(clause.paths, key=lambda p: any(r.hops is not None for r in p.parts[1::2])):
             state, waiting = self._path(state, path, rels, waiting)
         for e in waiting:
             state = self.filter(state, e)
@@ -232,6 +248,10 @@ class Executor:
         return state, rest
 
     def filter(self, state: State, e: Any) -> State:
+        for i, part in enumerate(state.parts()):  # a condition on one of several independent parts
+            if free_vars(e) and free_vars(e) <= part.scope.keys():
+                parts = [*state.factors[:i], self.filter(part, e), *state.factors[i + 1 :]]
+                return reduce(State.times, parts)
         negated = isinstance(e, A.Op) and e.op == "not" and isinstance(e.args[0], A.Exists)
         if negated or isinstance(e, A.Exists):
             keys, on = self._exists_keys(state, e.args[0] if negated else e)
@@ -277,8 +297,9 @@ class Executor:
                 neighbour = parts[at + 1] if at + 1 < len(parts) else parts[at - 1]
                 among = self._ends(neighbour, at + 1 >= len(parts))
             df, bound = self.scan(parts[at], among)
-            state = State(df if state.df is None else state.df.crossJoin(df), dict(state.scope))
-            state = replace(state, df=self._with_props(state.df, bound, other_props(parts[at].props), state))
+            state = state.times(State(df, {parts[at].var: bound} if parts[at].var else {}))
+            if some := other_props(parts[at].props):
+                state = replace(state, df=self._with_props(state.df, bound, some, state))
         else:
             bound = self._node_of(state, parts[at].var)
             state = self._check_node(state, bound, parts[at])
@@ -374,14 +395,17 @@ class Executor:
         if rel.hops is not None or path.shortest:
             if other_props(rel.props):
                 raise QueryError("properties of a variable-length relationship must be constants")
-            return self._traverse(state, near, rel, far, known, edges, bound, backwards, path, live, ends, tables)
+            return self._traverse(state, near, rel, far, known, edges, bound, backwards, path, live, ends, tables, rels)
         df = state.df.join(edges, F.col(near.cols["id"]) == F.col(bound.cols["src"]))
         df = self._with_props(df, bound, other_props(rel.props), state)
         if rel.var and rel.var in state.scope:
             df = df.where(F.col(bound.cols["id"]) == F.col(state.scope[rel.var].cols["id"]))
         mine = {t.type for t in tables} if all(t.type for t in tables) else None
         for other, types in rels:
-            if other.cols["id"] != bound.cols["id"] and (types is None or mine is None or types & mine) and not (rel.var and rel.var in state.scope):
+            if isinstance(other, str):  # the path of a search
+                if types is None or mine is None or types & mine:
+                    df = df.where(~F.exists(other, lambda r: (r["id"] == F.col(bound.cols["id"])) & (r["rel_type"] == F.col(bound.cols["rel_type"]))))
+            elif other.cols["id"] != bound.cols["id"] and (types is None or mine is None or types & mine) and not (rel.var and rel.var in state.scope):
                 same = (F.col(other.cols["id"]) == F.col(bound.cols["id"])) & (F.col(other.cols["rel_type"]) == F.col(bound.cols["rel_type"]))
                 df = df.where(~F.coalesce(same, F.lit(False)))
         rels.append((bound, mine))
@@ -413,26 +437,50 @@ class Executor:
             state.scope[far.var] = bound
         return state, bound
 
-    def _traverse(self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, known: Bound | None, edges: DataFrame, bound: Bound, backwards: bool, path: A.PathPat, live: bool, ends: set | None, tables: list) -> tuple[State, Bound, Any]:
+    def _traverse(
+        self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, known: Bound | None, edges: DataFrame, bound: Bound, backwards: bool, path: A.PathPat, live: bool, ends: set | None, tables: list, rels: list
+    ) -> tuple[State, Bound, Any]:
         listed = bool(rel.var and (rel.var in self.used or self.star))
+        mine = {t.type for t in tables} if all(t.type for t in tables) else None
+        # relationships of the same MATCH that the search may not take, and whether a later one must not repeat its own
+        taken = [] if path.shortest else [other for other, types in rels if types is None or mine is None or types & mine]
         paths = live or listed
         struct = F.struct(*(F.col(bound.cols[k]).alias(k) for k in ["id", "rel_type", "source", "target", *(k for k in bound.cols if k not in ("id", "rel_type", "source", "target", "src", "dst"))]))
-        flat = edges.select(F.col(bound.cols["src"]).alias("src"), F.col(bound.cols["dst"]).alias("dst"), *([struct.alias("rel")] if paths or path.shortest == "all" else []))
+        key = F.struct(F.col(bound.cols["id"]).alias("id"), F.col(bound.cols["rel_type"]).alias("rel_type"))
+        every = path.shortest == "all"
+        several = not path.shortest and sum(r.hops is not None for r in path.parts[1::2]) > 1
+        carried = [struct.alias("rel")] if paths or every else [key.alias("rel")] if several or taken else []
+        flat = edges.select(F.col(bound.cols["src"]).alias("src"), F.col(bound.cols["dst"]).alias("dst"), *carried)
         df = state.df
-        seeds = df.select(F.col(near.cols["id"]).alias("seed"))
+        seed, same = F.col(near.cols["id"]), None
+        if taken:
+            pair = lambda i, t: F.struct(i.alias("id"), t.alias("rel_type"))
+            lists = [F.transform(o, lambda r: pair(r["id"], r["rel_type"])) if isinstance(o, str) else F.array(pair(F.col(o.cols["id"]), F.col(o.cols["rel_type"]))) for o in taken]
+            seed = F.struct(seed.alias("node"), F.array_sort(F.array_distinct(F.concat(*lists))).alias("taken"))
         pairs = targets = None
-        if known is not None:
-            pairs = df.select(F.col(near.cols["id"]).alias("seed"), F.col(known.cols["id"]).alias("node"))
+        sides = [p for p in state.parts() if near.cols["id"].strip("`") in p.df.columns], [p for p in state.parts() if known is not None and known.cols["id"].strip("`") in p.df.columns]
+        if known is not None and all(sides) and sides[0][0] is not sides[1][0] and not taken:  # two independent ends: no product of them
+            df, same = sides[0][0].df, sides[1][0].df
+            targets = same.select(F.col(known.cols["id"]).alias("node"))
+        elif known is not None:
+            pairs = df.select(seed.alias("seed"), F.col(known.cols["id"]).alias("node"))
         elif far.labels or far.props:
             nodes, end = self.scan(far, ends)
             targets = nodes.select(F.col(end.cols["id"]).alias("node"))
-        every = path.shortest == "all"
-        found = bfs(flat, seeds, max(1, rel.hops[0]), rel.hops[1], paths or every, every, pairs, targets, self.frontier_limit)
+        found = bfs(flat, df.select(seed.alias("seed")), max(1, rel.hops[0]), rel.hops[1], paths or every or several, every, pairs, targets, self.frontier_limit, bool(taken))
         mark = self.fresh("bfs")
         found = found.select(*(F.col(c).alias(f"{mark}_{c}") for c in found.columns))
-        df = df.join(found, F.col(near.cols["id"]) == F.col(f"{mark}_seed"))
-        state = State(df, dict(state.scope))
-        state, end = self._arrive(state, F.col(f"{mark}_node"), far, known, ends, tables)
+        df = df.join(found, seed == F.col(f"{mark}_seed"))
+        if same is not None:
+            df = df.join(same, F.col(f"{mark}_node") == F.col(known.cols["id"]))
+            for part in state.parts():
+                if part is not sides[0][0] and part is not sides[1][0]:
+                    df = df.crossJoin(part.df)
+            state, end = State(df, dict(state.scope)), known
+        else:
+            state, end = self._arrive(State(df, dict(state.scope)), F.col(f"{mark}_node"), far, known, ends, tables)
+        if several and not path.shortest:
+            rels.append((f"{mark}_rels", mine))
         elem = Val(None, "rel", props={k: v for k, v in bound.kinds.items() if k not in ("src", "dst")})
         if paths:
             rel_list = F.col(f"{mark}_rels")

@@ -250,3 +250,27 @@ def test_loops_from_all_seeds(spark, sf):
         three = set().union(*(buyers[p] for p in parts.get(s, ()))) - two
         want += [(s, k, len(x)) for k, x in ((2, two), (3, three)) if x]
     assert sorted(run("q_shortest_len_all")) == sorted(want)
+
+
+def test_searches_keep_relationships_apart(spark):
+    g = lambda edges: Graph((NodeTable(spark.createDataFrame([(i, c) for i, c in enumerate("abcd")], "id bigint, name string"), ("N",)),), (RelTable(spark.createDataFrame(edges, "id bigint, source bigint, target bigint"), "R"),))
+    one = GraphSession(spark, g([(1, 0, 1)]))
+    assert one.query("MATCH (a {name: 'a'})-[r]-(b)-[*1..2]-(c) RETURN a.name, b.name, c.name").rows() == []
+    assert one.query("MATCH (a {name: 'a'})-[*1..2]-(b), (c)-[r]->(d) RETURN count(*) AS n").rows() == [(0,)]
+    ring = GraphSession(spark, g([(1, 0, 1), (2, 1, 2), (3, 2, 0)]))
+    got = ring.query("MATCH (a {name: 'a'})-[r]-(b)-[s*1..2]-(c) RETURN b.name AS b, c.name AS c, size(s) AS n ORDER BY b, c").rows()
+    assert got == [("b", "a", 2), ("b", "c", 1), ("c", "a", 2), ("c", "b", 1)]
+    assert ring.query("MATCH (a {name: 'a'})-[s*1..1]->(b)-[t*1..1]->(c) RETURN c.name AS c").rows() == [("c",)]
+
+
+def test_shortest_paths_between_segments_need_no_product(spark):
+    n = 40
+    graph = Graph((NodeTable(spark.range(n).selectExpr("id", "id as k", "id % 2 = 0 as even"), ("N",)),), (RelTable(spark.range(n - 1).selectExpr("id", "id as source", "id + 1 as target"), "R"),))
+    s = GraphSession(spark, graph)
+    got = s.query("MATCH (a:N), (b:N), (x:N {k: 3}) WHERE a.even AND b.k > 35 AND x.even = false MATCH p = shortestPath((a)-[*1..4]->(b)) RETURN a.k AS a, b.k AS b, x.k AS x, length(p) AS len")
+    assert sorted(got.rows()) == sorted((a, b, 3, b - a) for a in range(0, n, 2) for b in range(36, n) if 1 <= b - a <= 4)
+    two = s.query("MATCH (a:N), (b:N) WHERE a.even AND b.k > 35 MATCH p = shortestPath((a)-[*1..4]->(b)) RETURN a.k AS a, b.k AS b")
+    plan = two.df._jdf.queryExecution().toString()
+    assert len(two.rows()) == 8 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    both = s.query("MATCH (a:N), (b:N) WHERE a.k < 2 AND b.k < 6 AND a.k + b.k = 5 MATCH p = shortestPath((a)-[*]->(b)) RETURN a.k AS a, b.k AS b, length(p) AS len")
+    assert sorted(both.rows()) == [(0, 5, 5), (1, 4, 3)]
