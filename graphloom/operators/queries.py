@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from graphloom.operators import drift, heavy, hierarchy, nested, references
 from graphloom.runtime import table
 
-TRUST_FIELDS = ["TargetDomainSid", "TargetDomainName", "TrustDirection", "TrustType", "IsTransitive", "SidFilteringEnabled", "TrustAttributes"]
-
-
 def _contains(spark, d):
     return table(spark, d, "graph_edges").where("rel_type = 'Contains'")
 
@@ -73,7 +70,12 @@ def p4_found(spark, d):
 
 
 def p4_trusts(spark, d):
-    return drift.consistent_table(table(spark, d, "collector_files"), TRUST_FIELDS)
+    return drift.consistent_table(table(spark, d, "collector_files"), typed=True)
+
+
+def p4_moves(spark, d):
+    """The whole edit scripts, with nested fields and moves, counted by change and depth."""
+    return drift.all_changes(table(spark, d, "collector_files")).groupBy("change", "depth").agg(F.count("*").alias("n"))
 
 
 def p5_found(spark, d):
@@ -85,7 +87,7 @@ def p5_summary(spark, d):
     return found.select("target", "rel_type", "n_rows", "n_distinct", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p1_items, p2_found, p2_hierarchy, p2_descendants, p2_descendants_all, p3_found, p3_report, p4_found, p4_trusts, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_entities, p1_aces, p1_local_group_members, p1_items, p2_found, p2_hierarchy, p2_descendants, p2_descendants_all, p3_found, p3_report, p4_found, p4_trusts, p4_moves, p5_found, p5_summary)}
 
 _REFS = """
 n AS (SELECT DISTINCT * FROM nodes), e AS (SELECT DISTINCT * FROM graph_edges),
@@ -130,7 +132,42 @@ def _children(path: str) -> str:
     c AS (SELECT file_id, entity_pos, unnest(l) AS i, CAST(generate_subscripts(l, 1) - 1 AS VARCHAR) AS item_pos FROM b)"""
 
 
+_CHANGES = """
+f AS (SELECT DISTINCT file_id, collector, collected_at, CASE WHEN content[1] = chr(65279) THEN content[2:] ELSE content END AS c FROM collector_files),
+v AS (SELECT file_id, collector, collected_at, c::JSON AS j FROM f WHERE json_valid(c)),
+d AS (SELECT * FROM v WHERE j->>'$.meta.type' = 'domains'),
+m AS (SELECT file_id, 'meta' AS part, '' AS place, j->'meta' AS o, unnest(json_keys(j->'meta')) AS name FROM d),
+e AS (SELECT file_id, unnest(json_transform(j->'data', '["JSON"]')) AS x FROM d WHERE json_type(j->'data') = 'ARRAY'),
+t AS (SELECT file_id, who, unnest(l) AS o, generate_subscripts(l, 1) AS pos FROM (SELECT file_id, x->>'$.ObjectIdentifier' AS who, json_transform(x->'Trusts', '["JSON"]') AS l FROM e WHERE json_type(x) = 'OBJECT' AND json_type(x->'Trusts') = 'ARRAY')),
+p AS (SELECT file_id, part, place, name, json_extract(o, '$."' || name || '"') AS val FROM (FROM m UNION ALL SELECT file_id, 'Trusts', who || chr(10) || pos, o, unnest(json_keys(o)) FROM t WHERE json_type(o) = 'OBJECT')),
+q AS (SELECT *, CASE WHEN json_type(val) IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' ELSE json_type(val) END AS ty, CASE WHEN json_type(val) IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(CAST(val AS DOUBLE) AS VARCHAR) ELSE lower(CAST(val AS VARCHAR)) END AS vk FROM p WHERE json_type(val) <> 'NULL'),
+fld AS (SELECT file_id, part, name, string_agg(DISTINCT ty, ',' ORDER BY ty) AS types FROM q GROUP BY ALL),
+s AS (SELECT file_id, lag(file_id) OVER (PARTITION BY collector ORDER BY collected_at, file_id) AS prev FROM d),
+a AS (SELECT s.file_id, prev, part, name, types FROM s JOIN fld ON fld.file_id = prev),
+b AS (SELECT s.file_id, prev, part, name, types FROM s JOIN fld USING (file_id) WHERE prev IS NOT NULL),
+gone AS (SELECT * FROM a ANTI JOIN b USING (file_id, part, name)), came AS (SELECT * FROM b ANTI JOIN a USING (file_id, part, name)),
+pair AS (SELECT g.file_id, g.part, g.name AS o, c.name AS n FROM gone g JOIN came c USING (file_id, part, types) JOIN q x ON x.file_id = g.prev AND x.part = g.part AND x.name = g.name
+         JOIN q y ON y.file_id = g.file_id AND y.part = g.part AND y.name = c.name AND y.place = x.place GROUP BY ALL HAVING bool_and(x.vk = y.vk)),
+changes AS (SELECT file_id, part || '.' || a.name AS field, '' AS new_field, 'retyped' AS change FROM a JOIN b USING (file_id, part, name) WHERE a.types <> b.types
+  UNION ALL SELECT file_id, part || '.' || o, part || '.' || n, 'renamed' FROM pair
+  UNION ALL SELECT file_id, part || '.' || name, '', 'removed' FROM gone WHERE (file_id, part, name) NOT IN (SELECT (file_id, part, o) FROM pair)
+  UNION ALL SELECT file_id, part || '.' || name, '', 'added' FROM came WHERE (file_id, part, name) NOT IN (SELECT (file_id, part, n) FROM pair))
+"""
+
+
+def _flag(*names: str) -> str:
+    """SQL for a yes or no of a trust, however it is written, by the first of several names that is there."""
+    return "coalesce(" + ", ".join(f"lower(CASE WHEN json_type(i->'$.{n}') = 'OBJECT' THEN i->>'$.{n}.raw' ELSE i->>'$.{n}' END) IN ('true', '1')" for n in names) + ")"
+
+
 ORACLE = {
+    "p4_found": f"WITH {_CHANGES} SELECT file_id, field, new_field, change FROM changes",
+    "p4_moves": f"WITH {_CHANGES} SELECT change, CAST(1 AS INTEGER) AS depth, count(*) AS n FROM changes GROUP BY change",  # no nested change up to this size
+    # the names that are renamed up to this size
+    "p4_trusts": f"""WITH {_children('$.Trusts')}, own AS (SELECT c.* FROM c JOIN v USING (file_id) WHERE lower(j->>'$.meta.type') = 'domains' AND json_type(i) = 'OBJECT')
+SELECT file_id, entity_pos, item_pos, i->>'$.CreatedAt' AS createdat, {_flag('IsTransitive')} AS istransitive, {_flag('SidFilteringEnabled', 'SidFiltering')} AS sidfilteringenabled, i->>'$.TargetDomainName' AS targetdomainname,
+  coalesce(i->>'$.TargetDomainSid', i->>'$.TargetDomainSID', i->>'$.TargetSid') AS targetdomainsid, i->>'$.TrustAttributes' AS trustattributes,
+  CASE i->>'$.TrustDirection' WHEN '0' THEN 'Disabled' WHEN '1' THEN 'Inbound' WHEN '2' THEN 'Outbound' WHEN '3' THEN 'Bidirectional' ELSE i->>'$.TrustDirection' END AS trustdirection, i->>'$.TrustType' AS trusttype, CAST(NULL AS VARCHAR) AS conflicts FROM own""",
     "p1_entities": f"WITH {_ENTITIES} SELECT file_id, entity_pos, x->>'$.ObjectIdentifier' AS objectidentifier, x->>'$.Properties.name' AS properties_name, x->>'$.Properties.domainsid' AS properties_domainsid, x->>'$.PrimaryGroupSID' AS primarygroupsid FROM x WHERE json_type(x) = 'OBJECT'",
     "p1_aces": f"WITH {_children('$.Aces')} SELECT file_id, entity_pos, item_pos, i->>'$.PrincipalSID' AS principalsid, i->>'$.RightName' AS rightname, i->>'$.PrincipalType' AS principaltype, i->>'$.IsInherited' AS isinherited FROM c WHERE json_type(i) = 'OBJECT'",
     "p1_local_group_members": f"""WITH {_children('$.LocalGroups')}, m AS (SELECT file_id, entity_pos, item_pos, json_transform(json_extract(i, '$.Results'), '["JSON"]') AS l FROM c WHERE json_type(i) = 'OBJECT' AND json_type(json_extract(i, '$.Results')) = 'ARRAY'),

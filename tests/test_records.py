@@ -3,10 +3,13 @@
 import json
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import shred
@@ -109,6 +112,51 @@ def test_all_items_of_test_data(spark, sf):
     assert sum(r[2] == "Properties.serviceprincipalnames" and r[5] is not None for r in got)
 
 
+def test_files_of_any_depth(spark):
+    n = 5000
+    lists = '{"data": [{"A": ' + "[" * n + '{"x": 1}' + "]" * n + "}]}"
+    names = '{"data": [{"A": ' + '{"b": ' * n + '[{"y": 2}]' + "}" * n + "}]}"
+    both = '{"data": [{"A": [' + '{"c": [' * 300 + "{}" + "]}" * 300 + "]}]}"
+    df = spark.createDataFrame([(1, "a", lists), (2, "b", names), (3, "c", both), (4, "d", "[" * 200_000), (5, "e", '{"data": [{"A": [{"k": [1, {"z": 3}]}]}]}')], FILES)
+    got = nested.nested_items(df)
+    assert [tuple(r) for r in got.where("file_id = 1").select("array_path", "item_pos").collect()] == [("A", ".".join(["0"] * n))]
+    assert [(len(r[0]), r[1]) for r in got.where("file_id = 2").select("array_path", "item_pos").collect()] == [(2 * n + 1, "0")]
+    assert got.where("file_id = 3").count() == 301 and got.where("file_id = 4").count() == 0
+    assert rows(got.where("file_id = 5"), "array_path", "item_pos", "parent_pos") == [("A", "0", ""), ("A.k", "0.1", "0")]
+    assert {r.file_id: r.valid for r in nested.files(df).collect()} == {1: True, 2: True, 3: True, 4: False, 5: True}
+    assert drift.schema_changes(df.withColumn("collector", F.lit("c")).withColumn("collected_at", F.current_timestamp())).count() == 0
+
+
+def test_repeated_names_and_related_tables(spark):
+    data = [(1, "a", '{"meta": {"type": "Users", "version": 5}, "data": [{"A": [{"x": 1}, {"x": 2}], "N": "n", "A": [{"x": 3, "x": "4"}, 5]}, {"A": null}]}'), (2, "b", "{}")]
+    tables = nested.related_tables(spark.createDataFrame(data, FILES), {"entities": ["N"], "A": ["x"]})
+    assert rows(tables["files"]) == [(1, "true", "users", "5"), (2, "true", None, None)]
+    assert rows(tables["entities"]) == [(1, 0, "n"), (1, 1, None)]
+    assert rows(tables["A"], "entity_pos", "item_pos", "x", "value") == sorted([(0, "0", "4", None), (0, "1", None, "5")])
+
+
+JSON_PARTS = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(JSON_PARTS, min_size=1, max_size=4), st.booleans())
+def test_values_of_any_json(docs, plain):
+    values = shred.Values(pa.array([json.dumps(d, ensure_ascii=plain, indent=1 if plain else None) for d in docs]))
+    assert values.valid.all()
+
+    def build(row):
+        kind = values.kind[row]
+        _, items, places = values.below(np.array([row]))
+        if kind == shred.ARRAY:
+            return [build(i) for i in items]
+        if kind == shred.OBJECT:
+            return {values.names[values.name[i]]: build(i) for i in items}
+        text = values.text(np.array([row])).to_pylist()[0]
+        return text if kind == shred.STRING else None if text is None else json.loads(text)
+
+    assert [build(r) for r in values.root] == docs
+
+
 def test_parse_is_strict():
     assert shred.parse("[Infinity]") is shred.INVALID and shred.parse("﻿﻿1") is shred.INVALID and shred.parse("null") is None
     assert shred.parse("[" * 100_000) is shred.INVALID
@@ -317,6 +365,36 @@ def test_schema_changes_edge_cases(spark):
     assert drift.schema_changes(df.limit(0)).count() == 0
 
 
+def test_edit_scripts_of_nested_schemas():
+    def node(types, **at):
+        return {"types": types, "at": at}
+
+    old = {("T", "A"): node(4, p="1"), ("T", "B"): node(32, p="o"), ("T", "B", "x"): node(8, p="v"), ("T", "B", "y"): node(8, p="w"), ("T", "S"): node(8, p="s")}
+    new = {("T", "A2"): node(4, p="1"), ("T", "B"): node(32, p="n"), ("T", "B", "x"): node(4, p="v"), ("T", "B", "S"): node(8, p="s"), ("T", "B", "z"): node(8, p="q")}
+    assert drift.edit_script(old, new) == sorted(
+        [(("T", "A"), ("T", "A2"), "renamed"), (("T", "B", "x"), (), "retyped"), (("T", "S"), ("T", "B", "S"), "moved"), (("T", "B", "y"), (), "removed"), (("T", "B", "z"), (), "added")]
+    )
+    assert drift.edit_distance(old, old) == 0 and drift.edit_distance({}, old) == len(old)
+    # a largest matching: a fits two, b only one
+    two = drift.edit_script({("T", "a"): node(4, p="1"), ("T", "b"): node(4, p="1", q="2")}, {("T", "c"): node(4, p="1", q="2"), ("T", "d"): node(4, p="1", q="3")})
+    assert [c for _, _, c in two] == ["renamed", "renamed"]
+
+
+def test_consistent_table_keeps_all_fields(spark):
+    def doc(trusts):
+        return json.dumps({"meta": {"type": "domains"}, "data": [{"ObjectIdentifier": "D", "Trusts": trusts}]})
+
+    data = [(1, "c", at(1), doc([{"Old": "x", "Flag": True, "N": 1}])), (2, "c", at(2), doc([{"New": "x", "Flag": {"raw": "False"}, "N": "2", "Late": [1]}])), (3, "d", at(1), doc([{"Old": "p", "New": "q", "flag": None, "N": 3}]))]
+    df = spark.createDataFrame(data, "file_id bigint, collector string, collected_at timestamp, content string")
+    got = drift.consistent_table(df, typed=True)
+    assert got.columns == ["file_id", "entity_pos", "item_pos", "flag", "late", "n", "old", "conflicts"] and dict(got.dtypes)["n"] == "bigint" and dict(got.dtypes)["flag"] == "boolean"
+    assert rows(got, "file_id", "flag", "late", "n", "old", "conflicts") == [(1, True, None, 1, "x", None), (2, False, "[1]", 2, "x", None), (3, None, None, 3, "p", '{"New":"q"}')]
+    moved = [(1, "c", at(1), doc([{"S": "v", "F": {"a": 1}}])), (2, "c", at(2), doc([{"F": {"a": 1, "S": "v"}}]))]
+    df = spark.createDataFrame(moved, df.schema)
+    assert rows(drift.all_changes(df), "field", "new_field", "change", "depth") == [("Trusts.S", "Trusts.F.S", "moved", 1)]
+    assert rows(drift.schema_changes(df)) == [(2, "Trusts.S", "", "removed")]
+
+
 def test_skewed_summary(spark):
     data = [("hot", "r", f"s{i % 7}", at(1 + i % 20)) for i in range(3000)] + [(f"k{i}", None, None, at(2)) for i in range(40)] + [(None, "r", "s", None)] * 3
     df = spark.createDataFrame(data, "target string, rel_type string, source string, n_rows timestamp").withColumnRenamed("n_rows", "loaded_at").withColumn("value", F.lit(1))
