@@ -180,6 +180,26 @@ def upsert_nodes(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return joined.select("id", *keep, *(c for c in old.columns if c not in ("id", *props)))
 
 
+def upsert_properties(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Nodes (id, labels array, properties map of texts) with new ones merged in, in order.
+
+    A property is what the last row that names it says, null removing it; labels are united; ``placeholder`` stays only if
+    the last row of a node has it. Rows without an id are nodes of their own. Rows of one node meet only by property, after
+    a partial maximum in the scan, so a node that is loaded very often is no hot group."""
+    columns = ["id", "labels", "properties"]
+    every = old.select(*columns, F.lit(None).cast(new.schema[order].dataType).alias("o"), F.lit(0).alias("turn")).unionByName(new.select(*columns, F.col(order).alias("o"), F.lit(1).alias("turn")))
+    alone = every.where("id is null").select(*columns)
+    some = every.where("id is not null")
+    place = F.struct("turn", "o")
+    fields = some.select("id", place.alias("at"), F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(F.max_by(F.struct("v"), "at").alias("last"))
+    whole = some.groupBy("id").agg(F.max_by(F.coalesce(F.lower(F.col("properties")["placeholder"]) == "true", F.lit(False)), place).alias("open"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"))
+    kept = fields.where("last.v is not null and k <> 'placeholder'").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.col("last.v").alias("v"))))).alias("properties"))
+    none = F.expr("cast(map() as map<string,string>)")
+    merged = whole.join(kept, "id", "left").withColumn("properties", F.coalesce("properties", none))
+    own = F.when(F.col("open"), F.map_concat("properties", F.create_map(F.lit("placeholder"), F.lit("true")))).otherwise(F.col("properties"))
+    return merged.select("id", "labels", own.alias("properties")).unionByName(alone)
+
+
 def insert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges of both; of equal (source, target, rel_type) the first stays."""
     key = ["source", "target", "rel_type"]

@@ -234,7 +234,7 @@ def child_rows(df: DataFrame, spec: dict[str, list[str]], entity_fields: list[st
         if properties:
             inner = values.field(entities.rows, properties)
             there = (inner >= 0) & (values.kind[inner] == OBJECT)
-            maps = field_maps(values, inner[there]).take(pa.array(np.cumsum(there) - 1, mask=~there))
+            maps = field_maps(values, inner[there], True).take(pa.array(np.cumsum(there) - 1, mask=~there))
         yield batch("", np.arange(len(entities)), empty, [values.text(values.dotted(entities.rows, f)) for f in spec.get("", [])], maps)
         for level, at in entities.levels():
             if level.path not in spec:

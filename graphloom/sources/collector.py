@@ -7,10 +7,17 @@ edges are DataFrame operations, so no file depends on another's order.
 
 from __future__ import annotations
 
+import codecs
+import zlib
+from io import BytesIO
+from zipfile import BadZipFile, ZipFile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.model import Graph, NodeTable, RelTable
 from graphloom.operators import nested
+from graphloom.runtime import cut
 
 # Names of file types, of rights and of local groups.
 LABELS = {"user": "User", "group": "Group", "computer": "Computer", "domain": "Domain", "gpo": "GPO", "ou": "OU", "container": "Container", "certtemplate": "CertTemplate", "enterpriseca": "EnterpriseCA", "rootca": "RootCA", "aiaca": "AIACA", "ntauthstore": "NTAuthStore"}
@@ -34,6 +41,8 @@ ACCOUNT_FLAGS = {
     "account_locked_out": 0x10,
 }
 
+MOST_PROPERTIES = 2000
+
 _ENTITY = ["ObjectIdentifier", "Properties.name", "Properties.domainsid", "Properties.unconstraineddelegation", "Properties.useraccountcontrol", "Properties.enabled", "PrimaryGroupSID", "HostingComputer", "DomainSID", "ContainedBy.ObjectIdentifier"]
 _OUTER = ["Name", "ObjectIdentifier"]
 _MEMBER = ["ObjectIdentifier", "ObjectType"]
@@ -61,7 +70,7 @@ _SPEC = {
 
 def collector_rows(files: DataFrame) -> DataFrame:
     """All entities and nested elements the families need; ``label`` from the file's type (singular or plural)."""
-    rows = nested.child_rows(files, _SPEC, _ENTITY, _OUTER)
+    rows = nested.child_rows(files, _SPEC, _ENTITY, _OUTER, properties="Properties")
     names = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
     singular = F.regexp_replace("data_type", "s$", "")
     me = F.when(F.col("e0") != "", F.col("e0"))
@@ -69,12 +78,15 @@ def collector_rows(files: DataFrame) -> DataFrame:
 
 
 def entity_nodes(rows: DataFrame) -> DataFrame:
-    """id, name, label, domainsid, enabled and account flags; of several loads the one of the highest file id counts."""
+    """id, name, label, domainsid, enabled, account flags and all properties; of several loads the one of the highest file id
+    counts. ``properties``: every field of the entity's Properties as text (arrays and objects as JSON), without nulls, empty
+    arrays and the names that are columns of every node."""
     control = F.col("e4").try_cast("bigint")
     flags = [(F.when(control.bitwiseAND(F.lit(mask)) != 0, True)).alias(name) for name, mask in ACCOUNT_FLAGS.items()]
     enabled = F.coalesce(F.col("e5").try_cast("boolean"), control.bitwiseAND(F.lit(2)) == 0)
+    own = F.map_filter("properties", lambda k, v: v.isNotNull() & (v != "[]") & ~k.isin("objectid", "name", "label"))
     shown = F.when(control.isNotNull(), F.concat(F.lit("0x"), F.hex(control)))
-    every = rows.where("array_path = ''").select("file_id", "entity_pos", F.col("me").alias("id"), F.coalesce("e1", "me").alias("name"), "label", F.col("e2").alias("domainsid"), enabled.alias("enabled"), shown.alias("useraccountcontrol_hex"), *flags)
+    every = rows.where("array_path = ''").select("file_id", "entity_pos", F.col("me").alias("id"), F.coalesce("e1", "me").alias("name"), "label", F.col("e2").alias("domainsid"), enabled.alias("enabled"), shown.alias("useraccountcontrol_hex"), *flags, own.alias("properties"))
     keep = [c for c in every.columns if c not in ("file_id", "entity_pos", "id")]
     best = F.max_by(F.struct(*keep), F.struct("file_id", "entity_pos")).alias("n")
     return every.groupBy("id").agg(best).select("id", "n.*")
@@ -161,19 +173,48 @@ def trust_names(rows: DataFrame) -> DataFrame:
 
 
 def named_by_domain(nodes: DataFrame, domains: DataFrame) -> DataFrame:
-    """Placeholders get their domain: the longest known domain id that is a prefix of theirs, up to a hyphen.
+    """Nodes get their domain: the longest known domain id that is a prefix of theirs, up to a hyphen. Nodes without a name
+    of their own get the domain's name and what follows its id.
 
     Each id has as many prefixes as hyphens, so this is an equi-join on prefixes, not a range join."""
     parts = F.split("id", "-")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "-"))
-    found = nodes.select("id", F.explode(prefixes).alias("prefix")).join(domains.select(F.col("id").alias("prefix"), F.col("name").alias("domain")), "prefix")
-    best = found.groupBy("id").agg(F.max_by("domain", F.length("prefix")).alias("domain"))
-    return nodes.join(best, "id", "left")
+    named = domains.where("name is not null").groupBy(F.col("id").alias("prefix")).agg(F.max("name").alias("domain"))
+    found = nodes.select("id", F.explode(prefixes).alias("prefix")).join(named, "prefix")
+    best = found.groupBy("id").agg(F.max_by(F.struct("domain", "prefix"), F.length("prefix")).alias("d"))
+    own = F.col("name").isNull() | (F.col("name") == F.col("id"))
+    known = F.col("d.domain").isNotNull() & (F.col("d.domain") != F.col("d.prefix")) & ~F.startswith("d.domain", F.lit("S-1-")) & (F.col("id") != F.col("d.prefix"))
+    called = F.concat("d.domain", F.expr("substring(id, length(d.prefix) + 1)"))
+    columns = [F.when(own & known, called).otherwise(F.col("name")).alias("name") if c == "name" else F.col(c) for c in nodes.columns]
+    return nodes.join(best, "id", "left").select(*columns, F.col("d.domain").alias("domain"))
+
+
+def with_property_columns(nodes: DataFrame) -> DataFrame:
+    """The properties map as columns, named in lower case: boolean, bigint or double where all values are such, else text.
+
+    The names are found in the nodes; more than MOST_PROPERTIES are an error."""
+    spread = nodes.select(F.explode("properties").alias("k", "v")).select(F.lower("k").alias("k"), "v")
+    low = F.lower("v")
+    kinds = (
+        spread.groupBy("k").agg(F.bool_and(low.isin("true", "false")).alias("b"), F.bool_and(F.col("v").rlike(r"^-?(0|[1-9]\d{0,17})$")).alias("i"), F.bool_and(F.col("v").rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")).alias("f"))
+        .orderBy("k").limit(MOST_PROPERTIES + 1).collect()
+    )
+    if len(kinds) > MOST_PROPERTIES:
+        raise ValueError(f"more than {MOST_PROPERTIES} different properties")
+    entries = F.transform(F.map_entries("properties"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1)  # names that differ only in case: the first
+    lowered = nodes.withColumn("properties", F.map_from_entries(first))
+    columns = []
+    for r in kinds:
+        if r["k"] not in {c.lower() for c in nodes.columns}:
+            v = F.col("properties")[r["k"]]
+            columns.append((v.cast("boolean") if r["b"] else v.cast("bigint") if r["i"] else v.cast("double") if r["f"] else v).alias(r["k"]))
+    return lowered.select(*(c for c in nodes.columns if c != "properties"), *columns)
 
 
 def collector_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (with placeholders and their domains) and edges (with derived ones)."""
-    rows = collector_rows(files).persist()
+    rows = cut(collector_rows(files))
     known, found = entity_nodes(rows), entity_edges(rows)
     edges = found.unionByName(replication_edges(found), allowMissingColumns=True)
     extra = missing_ends(known, edges, trust_names(rows))
@@ -183,30 +224,46 @@ def collector_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def collector_graph(spark: SparkSession, files: DataFrame) -> Graph:
     nodes, edges = collector_tables(files)
+    nodes = with_property_columns(cut(nodes))
     rels = edges.withColumn("id", F.xxhash64("source", "target", "rel_type"))
     return Graph((NodeTable(nodes.withColumn("labels", F.array("label"))),), (RelTable(rels),))
 
 
-def read_collector_files(spark: SparkSession, path: str) -> DataFrame:
-    """file_id and content from JSON files and zip archives of them (one row for each file; ids from the paths)."""
-    from io import BytesIO
-    from zipfile import BadZipFile, ZipFile
+def _decoded(raw: bytes) -> str:
+    """The text of a file: UTF-8, or UTF-16 or UTF-32 with a byte order mark."""
+    for mark, encoding in ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if raw.startswith(mark):
+            return raw.decode(encoding)
+    return raw.decode("utf-8")
 
-    import pandas as pd
+
+def read_collector_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, file_name, content and error from JSON files and zip archives of them (one row for each file; ids from the
+    paths). What can't be read (a broken archive or member, bytes that are no text) is a row with null content and the error."""
 
     def unpack(batches):
         for batch in batches:
             out = []
+
+            def add(name: str, read) -> None:
+                try:
+                    out.append((name, _decoded(read()), None))  # noqa: B023
+                except (UnicodeDecodeError, BadZipFile, zlib.error, NotImplementedError, RuntimeError, OSError, EOFError) as e:
+                    out.append((name, None, f"{type(e).__name__}: {e}"))  # noqa: B023
+
             for name, raw in zip(batch["path"], batch["content"], strict=True):
                 if name.lower().endswith(".zip"):
                     try:
-                        with ZipFile(BytesIO(raw)) as z:
-                            out += [(f"{name}!{m}", z.read(m).decode("utf-8", "replace")) for m in z.namelist() if m.lower().endswith(".json")]
-                    except BadZipFile:
+                        archive = ZipFile(BytesIO(raw))
+                    except (BadZipFile, OSError, EOFError) as e:
+                        out.append((name, None, f"{type(e).__name__}: {e}"))
                         continue
+                    for m in archive.namelist():
+                        if m.lower().endswith(".json"):
+                            add(f"{name}!{m}", lambda m=m, z=archive: z.read(m))
                 elif name.lower().endswith(".json"):
-                    out.append((name, raw.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["file_name", "content"])
+                    add(name, lambda raw=raw: raw)
+            yield pd.DataFrame(out, columns=["file_name", "content", "error"])
 
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return read.select("path", "content").mapInPandas(unpack, "file_name string, content string").withColumn("file_id", F.xxhash64("file_name"))
+    return read.select("path", "content").mapInPandas(unpack, "file_name string, content string, error string").withColumn("file_id", F.xxhash64("file_name"))
