@@ -208,6 +208,14 @@ TRADE = {
         "MATCH (r:Region), (s:Supplier) WHERE r.r_regionkey > 0 AND s.s_acctbal > 0 MATCH p = shortestPath((r)-[:IN_REGION|IN_NATION*1..4]-(s)) RETURN r.r_name AS r, length(p) AS len, count(*) AS n",
         "SELECT r_name AS r, CAST(2 AS BIGINT) AS len, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey > 0 AND s_acctbal > 0 GROUP BY 1",
     ),
+    "path_nodes": (
+        "MATCH p = (s:Supplier)-[:IN_NATION]->(:Nation)-[:IN_REGION]->(:Region) WHERE s.s_acctbal > 0 RETURN s.s_suppkey AS k, [n IN nodes(p) | head(labels(n))][1] AS label, nodes(p)[1].n_name AS nation, [n IN nodes(p) WHERE (n:Region) | n.r_name][0] AS region",
+        "SELECT s_suppkey AS k, 'Nation' AS label, n_name AS nation, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal > 0",
+    ),
+    "path_nodes_varlen": (
+        "MATCH p = (s:Supplier)-[:IN_NATION|IN_REGION*2..2]->(r:Region) RETURN r.r_name AS region, nodes(p)[1].n_name AS nation, count(*) AS n",
+        "SELECT r_name AS region, n_name AS nation, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2",
+    ),
     "params": ("MATCH (n:Nation) WHERE n.n_nationkey IN $ks RETURN n.n_name AS name", "SELECT n_name AS name FROM nation WHERE n_nationkey IN (2, 4)"),
 }
 PARAMS = {"params": {"ks": [2, 4]}}

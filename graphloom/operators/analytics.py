@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.operators.traverse import distances
+from graphloom.operators.traverse import bfs, distances
 from graphloom.runtime import cut
 
 # Relationship types that give control of a computer.
@@ -60,9 +60,19 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = True,
     return ends.join(total, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def choke_points(nodes: DataFrame, scores: DataFrame, top: int = 50) -> DataFrame:
-    """The edges with the highest scores above 0, with names and labels of their ends."""
-    best = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(top)
+def above_threshold(scores: DataFrame, least: float) -> DataFrame:
+    """The edges whose score is at least ``least``."""
+    return scores.where(F.col("score") >= least)
+
+
+def choke_points(nodes: DataFrame, scores: DataFrame, top: int = 50, expected: list[str] | None = None) -> DataFrame:
+    """The edges with the highest scores above 0, with names and labels of their ends; with ``expected``, only those whose
+    source has none of these labels (the choke points one wouldn't expect)."""
+    best = scores.where("score > 0")
+    if expected is not None:
+        usual = nodes.where(F.col("label").isin(*expected)).select(F.col("id").alias("source"))
+        best = best.join(usual, "source", "left_anti")
+    best = best.orderBy(F.desc("score"), "id").limit(top)
     for end in ("source", "target"):
         names = nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"), F.col("label").alias(f"{end}_label"))
         best = best.join(names, end, "left")
@@ -106,6 +116,40 @@ def reaching(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None,
     return distances(some.select(F.col("target").alias("src"), F.col("source").alias("dst")), seeds)
 
 
+def members_of(nodes: DataFrame, edges: DataFrame, groups: DataFrame, label: str | None = None) -> DataFrame:
+    """id, name, label, hops: who is a member of one of the groups (``groups``: node), directly or through other groups."""
+    found = reaching(edges, groups, ["MemberOf"]).where("hops > 0")
+    some = nodes if label is None else nodes.where(F.col("label") == label)
+    return some.select("id", "name", "label").join(found.withColumnRenamed("node", "id"), "id")
+
+
+def memberships(nodes: DataFrame, edges: DataFrame, ident: str, suffix: str = "") -> DataFrame:
+    """id, name, hops: the groups a node is in, directly or through others, with an id that ends with ``suffix``."""
+    member = edges.where("rel_type = 'MemberOf'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    seed = edges.sparkSession.createDataFrame([(ident,)], "node string")
+    found = distances(member, seed).where((F.col("hops") > 0) & F.col("node").endswith(suffix)).select(F.col("node").alias("id"), "hops")
+    return found.join(nodes.select("id", "name"), "id", "left").select("id", "name", "hops")
+
+
+def is_member_of(edges: DataFrame, ident: str, group: str) -> bool:
+    """Whether a node is in a group, directly or through others; a node is no member of itself."""
+    member = edges.where("rel_type = 'MemberOf'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    spark = edges.sparkSession
+    pair = spark.createDataFrame([(ident, group)], "seed string, node string")
+    return bool(bfs(member, pair.select("seed"), high=1_000_000, pairs=pair).limit(1).count())
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, types: list[str] | None = None) -> DataFrame:
+    """step, id, name, label, rel_type (of the edge that leads to the node; null for the first): one shortest path, or no
+    rows. Among paths of equal length the one with the smallest edge ids."""
+    some = edges if types is None else edges.where(F.col("rel_type").isin(*types))
+    hops = some.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.struct("id", "rel_type").alias("rel"))
+    pair = edges.sparkSession.createDataFrame([(source, target)], "seed string, node string")
+    path = bfs(hops, pair.select("seed"), high=1_000_000, paths=True, pairs=pair)
+    steps = path.select(F.posexplode("nodes").alias("step", "id"), "rels").select("step", "id", F.when(F.col("step") > 0, F.try_element_at("rels", F.greatest("step", F.lit(1)))["rel_type"]).alias("rel_type"))
+    return steps.join(nodes.select("id", "name", "label"), "id", "left").select("step", "id", "name", "label", "rel_type")
+
+
 def reach_report(nodes: DataFrame, edges: DataFrame, suffix: str = "-512", label: str = "User") -> DataFrame:
     """One row: nodes of the label, those that reach a group with the id suffix by membership, and by any edge."""
     seeds = nodes.where(F.col("id").endswith(suffix)).select(F.col("id").alias("node"))

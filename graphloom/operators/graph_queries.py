@@ -100,6 +100,34 @@ def u_insert_edges(spark, d):
     return analytics.insert_edges(edges.where("edge_id % 2 = 0").dropDuplicates(["source", "target", "rel_type"]), edges.where("edge_id % 2 = 1")).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
+def _some_user(spark, d) -> str:
+    """The user with the smallest id among the members of the principal all users are in."""
+    nodes, edges = _objects(spark, d)
+    users = nodes.where("label = 'User'").select(F.col("id").alias("source"))
+    return edges.where("rel_type = 'MemberOf' and target = 'S-1-5-11'").join(users, "source", "left_semi").agg(F.min("source")).first()[0]
+
+
+def g_members(spark, d):
+    nodes, edges = _objects(spark, d)
+    groups = nodes.where("id like '%S-1-5-11'").select(F.col("id").alias("node"))
+    return analytics.members_of(nodes, edges, groups, "User").select("id", "hops")
+
+
+def g_memberships(spark, d):
+    nodes, edges = _objects(spark, d)
+    return analytics.memberships(nodes, edges, _some_user(spark, d)).select("id", "hops")
+
+
+def g_is_member(spark, d):
+    edges, who = _objects(spark, d)[1], _some_user(spark, d)
+    return spark.createDataFrame([(g, analytics.is_member_of(edges, who, g)) for g in ("S-1-5-11", "S-1-1-0", "S-0")], "id string, member boolean")
+
+
+def g_path(spark, d):
+    nodes, edges = _objects(spark, d)
+    return analytics.shortest_path(nodes, edges, _some_user(spark, d), "S-1-5-11")
+
+
 def g_resolve(spark, d):
     return analytics.resolve(_objects(spark, d)[0].dropDuplicates(["id"]), "S-1-5-11")
 
@@ -108,7 +136,7 @@ def i_edge_counts(spark, d):
     return i_edges(spark, d).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (g_components, g_reaching, g_reach_report, g_out_neighbours, g_degrees, g_search, g_connections, g_edges_between, g_label_report, g_edge_betweenness, i_edges, i_nodes, i_edge_counts, i_node_names, i_properties, i_edge_list, u_upsert, u_insert_edges, g_resolve)}
+QUERIES = {f.__name__: f for f in (g_components, g_reaching, g_reach_report, g_out_neighbours, g_degrees, g_search, g_connections, g_edges_between, g_label_report, g_edge_betweenness, i_edges, i_nodes, i_edge_counts, i_node_names, i_properties, i_edge_list, u_upsert, u_insert_edges, g_resolve, g_members, g_memberships, g_is_member, g_path)}
 
 _BASE = """
 e AS (SELECT source s, target t, rel_type ty FROM graph_edges WHERE source IS NOT NULL AND target IS NOT NULL AND rel_type IS NOT NULL GROUP BY 1, 2, 3),
@@ -207,3 +235,10 @@ ORACLE["u_insert_edges"] = "SELECT rel_type, count(DISTINCT (source, target)) AS
 ORACLE["g_resolve"] = f"WITH {_BASE} SELECT id, name, label FROM n WHERE id = 'S-1-5-11' OR name = 'S-1-5-11' ORDER BY id = 'S-1-5-11' DESC, id LIMIT 1"
 ORACLE["g_components"] = f"""WITH RECURSIVE {_BASE}, u AS (SELECT s AS a, t AS b FROM e UNION SELECT t, s FROM e), r(id, c, d) AS (SELECT id, id, 0 FROM n UNION SELECT u.b, min(r.c), d + 1 FROM r JOIN u ON u.a = r.id WHERE d < 12 GROUP BY u.b, d)
 SELECT n.id, min(c) AS component FROM n JOIN r USING (id) GROUP BY 1"""
+_WHO = "who AS (SELECT min(s) AS id FROM e JOIN n ON n.id = s AND label = 'User' WHERE t = 'S-1-5-11' AND ty = 'MemberOf')"
+_UP = f"{_WHO}, up(id, d) AS (SELECT id, 0 FROM who UNION SELECT e.t, d + 1 FROM up JOIN e ON e.s = up.id AND ty = 'MemberOf' WHERE d < 80)"
+ORACLE["g_members"] = f"WITH RECURSIVE {_BASE}, m(id, d) AS (SELECT id, 0 FROM n WHERE ends_with(id, 'S-1-5-11') UNION SELECT e.s, d + 1 FROM m JOIN e ON e.t = m.id AND ty = 'MemberOf' WHERE d < 80), x AS (SELECT id, min(d) AS d FROM m GROUP BY 1) SELECT id, CAST(d AS INTEGER) AS hops FROM x JOIN n USING (id) WHERE label = 'User' AND d > 0"
+ORACLE["g_memberships"] = f"WITH RECURSIVE {_BASE}, {_UP} SELECT id, CAST(min(d) AS INTEGER) AS hops FROM up GROUP BY 1 HAVING min(d) > 0"
+ORACLE["g_is_member"] = f"WITH RECURSIVE {_BASE}, {_UP} SELECT id, id IN (SELECT id FROM up WHERE d > 0) AS member FROM (VALUES ('S-1-5-11'), ('S-1-1-0'), ('S-0')) v(id)"
+# the path has one step
+ORACLE["g_path"] = f"WITH {_BASE}, {_WHO}, r AS (SELECT arg_min(rel_type, (loaded_at, edge_id)) AS ty FROM (SELECT rel_type, min(edge_id) AS edge_id, min(loaded_at) AS loaded_at FROM graph_edges WHERE source = (SELECT id FROM who) AND target = 'S-1-5-11' GROUP BY 1)) SELECT CAST(0 AS INTEGER) AS step, id, name, label, CAST(NULL AS VARCHAR) AS rel_type FROM n JOIN who USING (id) UNION ALL SELECT 1, id, name, label, ty FROM n, r WHERE id = 'S-1-5-11'"

@@ -144,6 +144,30 @@ def _used_vars(statement: Any) -> set[str]:
     return out
 
 
+def _whole_nodes(statement: Any) -> set[str]:
+    """Path variables of whose nodes more than the ids may be needed: used whole, or in ``nodes()`` that isn't only counted."""
+    out: set[str] = set()
+
+    def visit(e: Any) -> None:
+        if isinstance(e, A.Call) and len(e.args) == 1:
+            arg = e.args[0]
+            if e.name in ("length", "relationships", "count", "rels") and isinstance(arg, A.Var):
+                return
+            if e.name == "size" and isinstance(arg, A.Call) and arg.name == "nodes" and len(arg.args) == 1 and isinstance(arg.args[0], A.Var):
+                return
+        if isinstance(e, A.Var):
+            out.add(e.name)
+        elif isinstance(e, tuple | list):
+            for x in e:
+                visit(x)
+        elif hasattr(e, "__dataclass_fields__"):
+            for n in e.__dataclass_fields__:
+                visit(getattr(e, n))
+
+    visit(statement)
+    return out
+
+
 def _rows(df: DataFrame) -> int:
     """Rows of a base table, counted once (from file footers where it is a plain file)."""
     if "_row_count" not in df.__dict__:
@@ -155,10 +179,11 @@ class Executor:
     def __init__(self, spark: SparkSession, graph: Graph, params: dict[str, Any] | None = None, frontier_limit: int | None = None):
         self.spark, self.graph, self.params, self.frontier_limit = spark, graph, params or {}, frontier_limit
         self.stats, self._n, self.used, self.star = Stats(), count(), set(), False
+        self.whole_nodes: set[str] = set()
 
     # --- statements
     def run(self, statement: A.Statement) -> DataFrame | None:
-        self.used = _used_vars(statement)
+        self.used, self.whole_nodes = _used_vars(statement), _whole_nodes(statement)
         self.star = any(isinstance(c, A.Project) and c.star for q in statement.parts for c in q.clauses)
         results = [self.query(q) for q in statement.parts]
         if len(results) == 1:
@@ -528,8 +553,26 @@ class Executor:
         col = self.fresh(name)
         id_kind = nodes[0].kinds.get("id", Val(None, "int"))
         parts = {"nodes": Val(None, "list", elem=Val(None, "node", props={"id": id_kind})), "relationships": Val(None, "list", elem=Val(None, "rel", props=kinds))}
-        scope = {**state.scope, name: Bound("value", {"value": col}, {}, Val(None, "path", props=parts))}
-        return State(state.df.withColumn(col, whole), scope)
+        df = state.df.withColumn(col, whole)
+        if name in self.whole_nodes or self.star:
+            df, col, kinds = self._with_nodes(df, col)
+            parts["nodes"] = Val(None, "list", elem=Val(None, "node", props=kinds))
+        return State(df, {**state.scope, name: Bound("value", {"value": col}, {}, Val(None, "path", props=parts))})
+
+    def _with_nodes(self, df: DataFrame, path: str) -> tuple[DataFrame, str, dict[str, Val]]:
+        """Paths whose nodes have labels and properties: the different lists of ids are joined with the nodes once."""
+        nodes = self.graph.node_frame()
+        names = ["id", "labels", *(c for c in nodes.columns if c not in ("id", "labels"))]
+        key, out = self.fresh("ids"), self.fresh("path")
+        ids = F.transform(F.col(path)["nodes"], lambda n: n["id"])
+        steps = df.select(ids.alias(key)).distinct().select(key, F.posexplode(key).alias("step", "step_id"))
+        own = nodes.select(F.col("id").alias("node_id"), F.struct(*(F.col(f"`{c}`").alias(c) for c in names)).alias("node"))
+        listed = steps.join(own, F.col("step_id") == F.col("node_id")).groupBy(key).agg(F.collect_list(F.struct("step", "node")).alias("listed"))
+        whole = listed.select(F.col(key).alias(f"{key}_k"), F.transform(F.array_sort("listed", lambda a, b: a["step"] - b["step"]), lambda x: x["node"]).alias("nodes_of_path"))
+        joined = df.withColumn(key, ids).join(whole, F.col(key) == F.col(f"{key}_k"), "left")
+        col = F.struct(F.col("nodes_of_path").alias("nodes"), F.col(path)["relationships"].alias("relationships")).alias(out)
+        kept = [c for c in df.columns if c != path]
+        return joined.select(*(F.col(f"`{c}`") for c in kept), col), out, {f.name: kind_of(f.dataType) for f in nodes.schema.fields}
 
     def optional(self, state: State, clause: A.Match) -> State:
         """Rows without a match stay, with nulls: the inner match of the row keys, joined back from the left."""

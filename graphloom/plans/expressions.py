@@ -57,7 +57,7 @@ def kind_of(t: T.DataType) -> Val:
 
 
 def with_col(col: Column, like: Val) -> Val:
-    return Val(col, like.kind, like.elem, like.props, (lambda name: col[name]) if like.kind in ("map", "rel", "node") else None, col["id"] if like.kind in ("rel", "node") and "id" in like.props else None)
+    return Val(col, like.kind, like.elem, like.props, (lambda name: col["labels" if name == "\0labels" else name]) if like.kind in ("map", "rel", "node") else None, col["id"] if like.kind in ("rel", "node") and "id" in like.props else None)
 
 
 RESERVED = ("id", "labels", "rel_type", "source", "target")

@@ -7,6 +7,7 @@ import pytest
 
 from graphloom.operators import analytics, graph_queries
 from graphloom.operators.traverse import bfs, distances
+from graphloom.session import GraphSession
 from graphloom.sources import collector
 
 
@@ -180,7 +181,12 @@ def test_read_files_and_archives(spark, tmp_path):
         z.writestr("readme.txt", "no")
     (tmp_path / "bad.zip").write_text("no archive")
     files = collector.read_collector_files(spark, str(tmp_path))
-    assert files.count() == 2 and files.select("file_id").distinct().count() == 2
+    (tmp_path / "wide.json").write_bytes(json.dumps({"meta": {"type": "ous"}, "data": []}).encode("utf-16"))
+    (tmp_path / "bytes.json").write_bytes(b"\xff\xfa{}")
+    files = collector.read_collector_files(spark, str(tmp_path))
+    good, errors = files.where("error is null"), {r.file_name.rsplit("/", 1)[1]: r.error for r in files.where("error is not null").collect()}
+    assert good.count() == 3 and files.select("file_id").distinct().count() == 5
+    assert sorted(errors) == ["bad.zip", "bytes.json"] and "BadZipFile" in errors["bad.zip"] and "UnicodeDecodeError" in errors["bytes.json"]
     assert collector.entity_nodes(collector.collector_rows(files)).count() == 4
 
 
@@ -192,3 +198,26 @@ def test_betweenness_of_all_labels_and_types(spark, tmp_path):
     links.selectExpr("*", f"{t} as loaded_at", "'{}' as properties").write.parquet(f"{tmp_path}/graph_edges.parquet")
     got = {r.rel_type: r.score for r in graph_queries.QUERIES["g_edge_betweenness"](spark, str(tmp_path)).collect()}
     assert got == {"MemberOf": 3.0, "AdminTo": 4.0, "Contains": 3.0}
+
+
+def test_properties_names_and_columns_of_imported_nodes(spark):
+    def entity(i, **props):
+        return {"ObjectIdentifier": i, "Properties": {"objectid": "no", "name": None, **props}, "Members": [{"ObjectIdentifier": "D-1-7"}]}
+
+    data = [entity("D-1", name="ONE", Level=3, List=["a"], none=None, empty=[], Deep={"x": 1}), entity("D-1-5", level=4, on=True, name="D-1-5")]
+    files = [(1, json.dumps({"meta": {"type": "domains"}, "data": data[:1]})), (2, json.dumps({"meta": {"type": "groups"}, "data": data[1:]}))]
+    df = spark.createDataFrame(files, "file_id bigint, content string")
+    nodes = {r.id: r for r in collector.collector_tables(df)[0].collect()}
+    assert nodes["D-1"].properties == {"Level": "3", "List": '["a"]', "Deep": '{"x": 1}'} and nodes["D-1-5"].properties == {"level": "4", "on": "true"}
+    assert (nodes["D-1"].name, nodes["D-1-5"].name, nodes["D-1-7"].name, nodes["D-1-7"].domain) == ("ONE", "ONE-5", "ONE-7", "ONE")
+    graph = collector.collector_graph(spark, df)
+    assert GraphSession(spark, graph).query("MATCH (n)<-[:MemberOf]-(m) WHERE n.level > 3 RETURN n.level + 1 AS l, n.on AS o, m.name AS m").rows() == [(5, True, "ONE-7")]
+
+
+def test_upsert_properties(spark):
+    shape = "id string, labels array<string>, properties map<string,string>"
+    old = spark.createDataFrame([("a", ["Base"], {"placeholder": "true", "x": "1", "y": "2"}), ("b", ["User"], {"x": "1"}), (None, ["N"], {})], shape)
+    new = spark.createDataFrame([("a", ["User"], {"x": None, "z": "3"}, 1), ("b", ["Base"], {"placeholder": "true"}, 2), ("a", ["User", "Admin"], {"z": "4"}, 2), ("c", [], {}, 1), (None, ["N"], {"k": "v"}, 1)], shape + ", o int")
+    got = sorted(((r.id or "", r.labels, r.properties) for r in analytics.upsert_properties(old, new, "o").collect()), key=lambda x: (x[0], len(x[2])))
+    assert got == [("", ["N"], {}), ("", ["N"], {"k": "v"}), ("a", ["Admin", "Base", "User"], {"y": "2", "z": "4"}), ("b", ["Base", "User"], {"placeholder": "true", "x": "1"}), ("c", [], {})]
+    assert analytics.upsert_properties(old.limit(0), new.limit(0), "o").count() == 0
