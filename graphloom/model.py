@@ -112,6 +112,18 @@ class Graph:
     def all_labels(self) -> DataFrame:
         return self.node_frame().select(F.explode("labels").alias("label")).distinct()
 
+    def emptied(self) -> Graph:
+        none = lambda t: replace(t, df=t.df.where(F.lit(False)))
+        return replace(self, nodes=tuple(map(none, self.nodes)), rels=tuple(map(none, self.rels)))
+
+    def label_counts_without(self, prop: str) -> DataFrame:
+        """label, n: nodes that don't have the property (or have it false, as placeholders do when they are resolved)."""
+        nodes = self.node_frame()
+        if prop in nodes.columns:
+            value = F.lower(F.col(f"`{prop}`").cast("string"))
+            nodes = nodes.where(value.isNull() | (value == "false"))
+        return nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
     def label_counts(self) -> DataFrame:
         return self.node_frame().select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 

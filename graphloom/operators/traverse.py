@@ -100,16 +100,18 @@ def _levels(edges: DataFrame, seeds: DataFrame, low: int, high: int, paths: bool
 def distances(edges: DataFrame, seeds: DataFrame, high: int = 1_000_000) -> DataFrame:
     """node, hops: distance from the nearest seed, all seeds at once (hops 0 for the seeds). ``edges``: src, dst."""
     edges = edges.select("src", "dst").where("src is not null and dst is not null").persist()
-    frontier = cut(seeds.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)))
-    found, depth, n = frontier, 0, frontier.count()
-    while depth < high:
-        depth += 1
-        step = edges.join(_ahead(frontier, n, SMALL_FRONTIER), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(depth)))
-        if not (n := frontier.count()):
-            break
-        found = found.unionByName(frontier)
-        if depth % 8 == 0:
-            found = cut(found)
-    edges.unpersist()
-    return found
+    try:
+        frontier = cut(seeds.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)))
+        found, depth, n = frontier, 0, frontier.count()
+        while depth < high:
+            depth += 1
+            step = edges.join(_ahead(frontier, n, SMALL_FRONTIER), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(depth)))
+            if not (n := frontier.count()):
+                break
+            found = found.unionByName(frontier)
+            if depth % 8 == 0:
+                found = cut(found)
+        return found
+    finally:
+        edges.unpersist()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import OrderedDict
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,21 +63,27 @@ class Result:
 class GraphSession:
     """Runs queries against the current version of a graph; an update replaces it.
 
-    Results of read-only queries are remembered by their syntax tree until the next update (as plans, not as data)."""
+    Results of read-only queries are remembered by their syntax tree until the next update (as plans, not as data; the
+    ``cached`` latest ones)."""
 
-    def __init__(self, spark: SparkSession, graph: Graph, read_only: bool = False, frontier_limit: int | None = None, history: int = 1000):
+    def __init__(self, spark: SparkSession, graph: Graph, read_only: bool = False, frontier_limit: int | None = None, history: int = 1000, cached: int = 500):
         self.spark, self.graph, self.read_only, self.frontier_limit = spark, graph, read_only, frontier_limit
-        self._cache: dict[tuple, Result] = {}
-        self._history: list[str] = []
-        self._keep = history
+        self._cache: OrderedDict[tuple, Result] = OrderedDict()
+        self._history: list[tuple[int, str]] = []
+        self._keep, self._cached, self._asked = history, cached, 0
+        self._indexes: set[tuple[str, str]] = set()
 
     def query(self, text: str, **params: Any) -> Result:
-        self._history = [*self._history, text][-self._keep :]
+        self._asked += 1
+        self._history = [*self._history, (self._asked, text)][-self._keep :]
         statement = parse(text)
         if statement.is_read_only():
             key = (statement, repr(sorted(params.items())))
             if key not in self._cache:
                 self._cache[key] = self._run(statement, params)
+            self._cache.move_to_end(key)
+            while len(self._cache) > self._cached:
+                self._cache.popitem(last=False)
             return self._cache[key]
         if self.read_only:
             raise QueryError("this session is read-only")
@@ -91,4 +98,49 @@ class GraphSession:
 
     def history(self, skip: int = 0, limit: int = 20) -> list[str]:
         """Queries, the latest first."""
-        return self._history[::-1][skip : skip + limit]
+        return [text for _, text in self._history[::-1][skip : skip + limit]]
+
+    def history_ids(self) -> list[int]:
+        """Numbers of the remembered queries, the latest first."""
+        return [i for i, _ in self._history[::-1]]
+
+    def forget(self, number: int | None = None) -> None:
+        """Deletes one query of the history by its number, or all."""
+        self._history = [] if number is None else [h for h in self._history if h[0] != number]
+
+    def size(self) -> tuple[int, int]:
+        """Numbers of nodes and relationships."""
+        return sum(t.df.count() for t in self.graph.nodes), sum(t.df.count() for t in self.graph.rels)
+
+    def clear(self) -> None:
+        """An empty graph with the same tables."""
+        if self.read_only:
+            raise QueryError("this session is read-only")
+        self._cache.clear()
+        self.graph = self.graph.emptied()
+
+    def create_index(self, kind: str, prop: str) -> None:
+        """Registers a property of nodes ("node") or relationships ("rel") as one queries look up.
+
+        There is no index to build: filters on properties reach the scans, which skip by the files' statistics. The catalog
+        tells a writer what to cluster by (``clustered``)."""
+        if kind not in ("node", "rel"):
+            raise ValueError("an index is on node or rel properties")
+        self._indexes.add((kind, prop))
+
+    def drop_index(self, kind: str, prop: str) -> bool:
+        there = (kind, prop) in self._indexes
+        self._indexes.discard((kind, prop))
+        return there
+
+    def indexes(self) -> list[tuple[str, str]]:
+        return sorted(self._indexes)
+
+    def clustered(self) -> Graph:
+        """The graph with its tables sorted by their indexed properties, for writing: files then skip by statistics."""
+
+        def sort(t, kind: str):
+            by = [p for k, p in self.indexes() if k == kind and p in t.df.columns]
+            return replace(t, df=t.df.repartitionByRange(*by).sortWithinPartitions(*by)) if by else t
+
+        return replace(self.graph, nodes=tuple(sort(t, "node") for t in self.graph.nodes), rels=tuple(sort(t, "rel") for t in self.graph.rels))

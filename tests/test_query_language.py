@@ -274,3 +274,21 @@ def test_shortest_paths_between_segments_need_no_product(spark):
     assert len(two.rows()) == 8 and "CartesianProduct" not in plan and "NestedLoop" not in plan
     both = s.query("MATCH (a:N), (b:N) WHERE a.k < 2 AND b.k < 6 AND a.k + b.k = 5 MATCH p = shortestPath((a)-[*]->(b)) RETURN a.k AS a, b.k AS b, length(p) AS len")
     assert sorted(both.rows()) == [(0, 5, 5), (1, 4, 3)]
+
+
+def test_session_catalogs(spark):
+    s = GraphSession(spark, make(spark, [(1, ["A"], "x", 1), (2, ["B"], "y", None)], [(1, 2, "R", 5)]), cached=2)
+    for text in ("MATCH (n) RETURN n.name AS n", "MATCH (n:A) RETURN n.name AS n", "MATCH (n:B) RETURN n.name AS n"):
+        s.query(text)
+    assert len(s._cache) == 2 and s.history(0, 1) == ["MATCH (n:B) RETURN n.name AS n"]
+    s.forget(s.history_ids()[0])
+    assert s.history(0, 1) == ["MATCH (n:A) RETURN n.name AS n"]
+    s.forget()
+    assert s.history() == [] and s.size() == (2, 1)
+    s.create_index("node", "age")
+    s.create_index("rel", "since")
+    assert s.indexes() == [("node", "age"), ("rel", "since")] and s.drop_index("rel", "since") and not s.drop_index("rel", "since")
+    assert s.clustered().node_frame().count() == 2
+    assert sorted(map(tuple, s.graph.label_counts_without("age").collect())) == [("B", 1)]
+    s.clear()
+    assert s.size() == (0, 0) and s.query("MATCH (n) RETURN count(n) AS n").rows() == [(0,)]
