@@ -5,8 +5,9 @@ The shift table says for each block how far the window may move at once; a block
 ``words - 1``. Where the shift is 0, the bucket of the suffix block, split by the pattern's first block, gives the few
 patterns that are compared word by word. Documents are read once, whole, and never shuffled; only pairs leave the scan.
 
-The items are the stated query set. They are taken in blocks of at most ``block_patterns`` patterns, each block
-broadcast, with one pass over the documents for each, so any number of items works.
+The items are the stated query set. Their different runs are made distributed and taken in blocks of about ``block_patterns``
+runs by hash, each block broadcast, with one pass over the documents for each, one after the other: items of any number and
+length work, and the driver holds one block at a time.
 
 Defined results: words are maximal runs of letters and digits (Unicode), compared in lower case. Items or documents that
 are null or shorter than ``words`` have no case. Repeated documents each give their own rows under their own ids.
@@ -21,6 +22,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.runtime import cut
+
 _WORD = re.compile(r"[^\W_]+")
 BLOCK_PATTERNS = 500_000
 
@@ -31,25 +34,28 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def runs_of(text: str, words: int) -> set[tuple[str, ...]]:
+    w = words_of(text or "")
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+
+
 class Patterns:
-    """Shift table and buckets of a set of items."""
+    """Shift table and buckets of a set of (item, run of words)."""
 
-    def __init__(self, items: Iterable[tuple[int, str]], words: int):
+    def __init__(self, runs: Iterable[tuple[int, tuple[str, ...]]], words: int):
         self.words = words
         self.far = words - 1
         self.shift: dict[tuple[str, str], int] = {}
         self.buckets: dict[tuple[str, str], dict[tuple[str, str], list[tuple[list[str], int]]]] = {}
-        for item, text in items:
-            w, seen = words_of(text or ""), set()
-            for start in range(len(w) - words + 1):
-                run = w[start : start + words]
-                if (key := tuple(run)) in seen:
-                    continue
-                seen.add(key)
-                for q in range(1, words):
-                    block = (run[q - 1], run[q])
-                    self.shift[block] = min(self.shift.get(block, self.far), words - 1 - q)
-                self.buckets.setdefault((run[-2], run[-1]), {}).setdefault((run[0], run[1]), []).append((run, item))
+        for item, run in runs:
+            for q in range(1, words):
+                block = (run[q - 1], run[q])
+                self.shift[block] = min(self.shift.get(block, self.far), words - 1 - q)
+            self.buckets.setdefault((run[-2], run[-1]), {}).setdefault((run[0], run[1]), []).append((list(run), item))
+
+    @classmethod
+    def of_texts(cls, items: Iterable[tuple[int, str]], words: int) -> Patterns:
+        return cls(((item, run) for item, text in items for run in sorted(runs_of(text, words))), words)
 
     def search(self, text: str) -> dict[int, list[int]]:
         """item -> [number of places, first word] of the runs the text holds."""
@@ -83,19 +89,36 @@ def _scan(documents: DataFrame, shared) -> DataFrame:
     return documents.mapInArrow(run, "doc_id bigint, item_id bigint, n_runs bigint, first_word bigint")
 
 
+def item_runs(items: DataFrame, words: int) -> DataFrame:
+    """item_id, run (words joined by spaces): the different runs of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if runs := [" ".join(r) for r in runs_of(text, words)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(runs), pa.int64()), pa.array(runs, pa.string())], ["item_id", "run"])
+
+    return items.mapInArrow(run, "item_id bigint, run string").distinct()
+
+
 def leaks(documents: DataFrame, items: DataFrame, words: int = 12, block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
     """doc_id, item_id, n_runs (places where a run of ``words`` words of the item stands), first_word (of the first)."""
     if words < 3:
         raise ValueError("a pattern needs three words or more")
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    queries = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    n = queries.agg(F.sum(F.length("text") / 2)).first()[0] or 0
-    blocks = max(1, -(-int(n) // block_patterns))
+    queries = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    runs = cut(item_runs(queries, words))
+    blocks = max(1, -(-runs.count() // block_patterns))
     parts = []
     for k in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else queries
-        parts.append(_scan(texts, spark.sparkContext.broadcast(Patterns(map(tuple, block.collect()), words))))
+        block = runs.where(F.pmod(F.xxhash64("run"), F.lit(blocks)) == k) if blocks > 1 else runs
+        shared = spark.sparkContext.broadcast(Patterns(((r["item_id"], tuple(r["run"].split(" "))) for r in block.collect()), words))
+        part = _scan(texts, shared)
+        if blocks > 1:
+            part = cut(part)
+            shared.destroy()
+        parts.append(part)
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("doc_id", "item_id").agg(F.sum("n_runs").alias("n_runs"), F.min("first_word").alias("first_word"))
 

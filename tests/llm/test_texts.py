@@ -166,7 +166,7 @@ def test_leaks_of_test_data(spark, sf):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4), st.lists(st.sampled_from("abcx"), max_size=40), st.integers(3, 5))
 def test_search_equals_brute_force(items, doc, words):
     texts = [(i, " ".join(x)) for i, x in enumerate(items)]
-    found = leaks.Patterns(texts, words).search(" ".join(doc))
+    found = leaks.Patterns.of_texts(texts, words).search(" ".join(doc))
     have = [tuple(doc[i : i + words]) for i in range(len(doc) - words + 1)]
     want = {i: sum(h in windows_of(t, words) for h in have) for i, t in texts}
     assert {i: n for i, (n, _) in found.items()} == {i: n for i, n in want.items() if n}
@@ -181,6 +181,7 @@ def test_leaks_edge_cases(spark):
     want = [(1, 1), (1, 4), (5, 1), (5, 4), (6, 1), (6, 4)]
     assert rows(leaks.leaks(docs, items), "doc_id", "item_id") == want
     assert rows(leaks.leaks(docs, items, block_patterns=20), "doc_id", "item_id") == want
+    assert rows(leaks.leaks(docs, items)) == rows(leaks.leaks(docs, items, block_patterns=1))
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
     assert dict((r.doc_id, r.n_runs) for r in leaks.leaks(docs, items).where("item_id = 4").collect()) == {1: 1, 5: 3, 6: 1}
 
