@@ -197,7 +197,7 @@ TRADE = {
         "SELECT a.n_nationkey AS a, count(*) AS n FROM nation a JOIN nation c ON a.n_regionkey = c.n_regionkey AND a.n_nationkey <> c.n_nationkey GROUP BY 1",
     ),
     "shortest_all_paths": (
-        "MATCH p = allShortestPaths((s:Supplier)-[:SUPPLIES|CONTAINS*1..3]-(o:Order {o_orderstatus: 'P'})) RETURN s.s_suppkey AS s, length(p) AS len, count(*) AS n",
+        "MATCH p = allShortestPaths((s:Supplier)-[:SUPPLIES|CONTAINS*1..2]-(o:Order {o_orderstatus: 'P'})) RETURN s.s_suppkey AS s, length(p) AS len, count(*) AS n",
         "SELECT l.l_suppkey AS s, CAST(2 AS BIGINT) AS len, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l JOIN lineitem m ON m.l_partkey = l.l_partkey JOIN orders ON o_orderkey = m.l_orderkey AND o_orderstatus = 'P' GROUP BY 1",
     ),
     "shortest_target_props": (

@@ -29,7 +29,7 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = True,
     if n > sample:
         chosen = chosen.orderBy(F.xxhash64("s"), "s").limit(sample)
     scale = n / sample if n > sample else 1.0
-    hops = oriented(edges, directed).persist()
+    hops = cut(oriented(edges, directed))
     frontier = cut(chosen.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
     seen, steps = frontier.select("s", F.col("v").alias("w")), []
     while True:
@@ -49,7 +49,6 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = True,
         part = cut(step.join(low, ["s", "w"]).select("s", "v", "id", (F.col("sigma_v") / F.col("sigma_w") * (1 + F.col("delta"))).alias("c")))
         delta = part.groupBy("s", F.col("v").alias("w")).agg(F.sum("c").alias("delta"))
         scores.append(part.groupBy("id").agg(F.sum("c").alias("c")))
-    hops.unpersist()
     ends = edges.select("id", "source", "target", "rel_type")
     if not scores:
         return ends.withColumn("score", F.lit(0.0))

@@ -288,11 +288,12 @@ def test_orphans(spark, many):
     assert {r.kind for r in references.orphans(refs, "ref", "t", parents.limit(0), "key", "start", "kind").collect()} == {"missing"}
 
 
-def test_hot_parent_in_slices(spark):
+@pytest.mark.parametrize("together", [100_000, 1])
+def test_hot_parent_in_slices(spark, together):
     spans = [("h", T(2024, 1 + i % 12, 1 + i // 12), T(2024, 1 + i % 12, 2 + i // 12)) for i in range(0, 300, 2) if i // 12 < 26]
     refs = [(d * 12 + m, "h", T(2024, m, d, 12)) for m in range(1, 13) for d in range(1, 28)]
     want = sorted((n, "deleted" if any(e <= t for _, _, e in spans) else "late") for n, _, t in refs if not any(s <= t < e for _, s, e in spans))
-    got = references.orphans(spark.createDataFrame(refs, "n int, key string, t timestamp"), "key", "t", spark.createDataFrame(spans, "key string, a timestamp, b timestamp"), "key", "a", "b", many=10)
+    got = references.orphans(spark.createDataFrame(refs, "n int, key string, t timestamp"), "key", "t", spark.createDataFrame(spans, "key string, a timestamp, b timestamp"), "key", "a", "b", many=10, together=together)
     assert rows(got, "n", "kind") == want
 
 

@@ -70,3 +70,15 @@ def test_object_graph(spark, sf):
     assert g.node_frame().groupBy("id").count().where("count > 1").count() == 0
     assert g.rels[0].df.groupBy("source", "target", "rel_type").count().where("count > 1").count() == 0
     assert g.label_counts().where("label = 'User'").first().n > 0 and g.rel_types().count() > 5 and g.all_labels().count() > 3
+
+
+def test_enterprise_graph(spark):
+    from graphloom.sources.generator import enterprise
+
+    g = enterprise(spark, domains=2, users=50, computers=20, groups=10, ous=5)
+    s = GraphSession(spark, g)
+    assert dict(s.query("MATCH (n) RETURN head(labels(n)) AS l, count(*) AS n").rows()) == {"Domain": 2, "User": 100, "Computer": 40, "Group": 20, "OU": 10}
+    assert s.query("MATCH (d:Domain)-[:Contains*1..10]->(u:User) RETURN count(u) AS n").rows() == [(100,)]
+    assert s.query("MATCH (a)-[r]->(b) RETURN count(r) AS n").rows() == [(g.rels[0].df.count(),)]  # both ends exist
+    assert s.query("MATCH (u:User)-[:MemberOf*1..10]->(g:Group)-[:AdminTo]->(c:Computer) RETURN count(*) > 0 AS some").rows() == [(True,)]
+    assert enterprise(spark, domains=1, users=0, computers=0, groups=0, ous=0).node_frame().count() == 1
