@@ -49,7 +49,7 @@ def _levels(edges: DataFrame, seeds: DataFrame, low: int, high: int, paths: bool
     depth, n = 0, frontier.count()
     wanted = None if targets is None else targets.select("node").where("node is not null").distinct()
     missing = None
-    if wanted is not None and n <= SMALL_FRONTIER:  # all seeds times all targets: the search ends once it has them
+    if wanted is not None and n <= SMALL_FRONTIER and not every:  # all seeds times all targets: the search ends once it has them
         wanted = cut(wanted)
         missing = n * wanted.count()
     while depth < high:
@@ -66,7 +66,11 @@ def _levels(edges: DataFrame, seeds: DataFrame, low: int, high: int, paths: bool
             best = F.min_by(F.struct("nodes", "rels"), F.transform("rels", lambda r: r["id"])).alias("best")
             step = step.groupBy("seed", "node").agg(best).select("seed", "node", "best.nodes", "best.rels")
         frontier = cut(step)
-        n = frontier.count()
+        if missing:
+            n, hits = frontier.join(wanted.withColumn("is_wanted", F.lit(1)), "node", "left").agg(F.count("*"), F.count("is_wanted")).first()
+            missing -= hits
+        else:
+            n = frontier.count()
         if limit is not None and n > limit:
             raise ResourceLimitError(f"level {depth} has {n} rows, more than {limit}")
         if not n:
@@ -79,10 +83,8 @@ def _levels(edges: DataFrame, seeds: DataFrame, low: int, high: int, paths: bool
             if not waiting.limit(1).count():
                 break
             frontier = frontier.join(waiting.select("seed").distinct(), "seed", "left_semi")  # n stays an upper bound
-        if missing:
-            missing -= frontier.join(wanted, "node", "left_semi").select("seed", "node").distinct().count()
-            if not missing:
-                break
+        if missing == 0:
+            break
         if depth % 8 == 0:
             visited = cut(visited)
     if not levels:
