@@ -21,6 +21,7 @@ field whose values are all null is not there; places without an ObjectIdentifier
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -152,6 +153,12 @@ def edit_distance(old: Tree, new: Tree) -> int:
     return len(edit_script(old, new))
 
 
+def _candidates(files: DataFrame, data_type: str) -> DataFrame:
+    """The files that can have this meta.type: their content names it, or has escapes that could spell it. Decided in the JVM,
+    so that files of other types are neither shuffled nor parsed."""
+    return files.where(F.col("content").rlike(rf'(?i)"{re.escape(data_type)}"|\\u'))
+
+
 def schema_profiles(df: DataFrame, data_type: str, part: str) -> DataFrame:
     """file_id and schema tree (JSON) of each file with the given meta.type."""
 
@@ -163,7 +170,7 @@ def schema_profiles(df: DataFrame, data_type: str, part: str) -> DataFrame:
             profiles = [json.dumps([[*path, node] for path, node in sorted(trees[d].items())]) for d in docs.tolist()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs)), pa.array(profiles, pa.string())], ["file_id", "profile"])
 
-    return nested.map_documents(df, "file_id", "content", "file_id bigint, profile string", emit)
+    return nested.map_documents(_candidates(df, data_type), "file_id", "content", "file_id bigint, profile string", emit)
 
 
 def _tree(profile: str) -> Tree:
@@ -281,7 +288,7 @@ def consistent_table(files: DataFrame, fields: list[str] | None = None, data_typ
                 keys = found.keys(level, at)
                 yield pa.RecordBatch.from_arrays([keys[0], keys[1], keys[3], nested.field_maps(values, level.items[at], True)], ["file_id", "entity_pos", "item_pos", "fields"])
 
-    elements = cut(nested.map_documents(files, "file_id", "content", "file_id bigint, entity_pos int, item_pos string, fields map<string,string>", emit))
+    elements = cut(nested.map_documents(_candidates(files, data_type), "file_id", "content", "file_id bigint, entity_pos int, item_pos string, fields map<string,string>", emit))
     if fields is None:
         there = elements.select(F.explode(F.map_keys(F.map_filter("fields", lambda _, v: v.isNotNull()))).alias("name")).groupBy("name").count().limit(MOST_NAMES + 1).collect()
         if len(there) > MOST_NAMES:

@@ -381,6 +381,12 @@ def test_edit_scripts_of_nested_schemas():
     assert [c for _, _, c in two] == ["renamed", "renamed"]
 
 
+def test_escaped_type_names(spark):
+    data = [(1, "c", at(1), '{"meta": {"type": "domains", "a": 1}, "data": []}'), (2, "c", at(2), '{"meta": {"type": "\\u0064omains", "a": "x"}, "data": []}'), (3, "c", at(3), '{"meta": {"type": "users"}, "data": []}')]
+    df = spark.createDataFrame(data, "file_id bigint, collector string, collected_at timestamp, content string")
+    assert rows(drift.schema_changes(df)) == [(2, "meta.a", "", "retyped")]
+
+
 def test_consistent_table_keeps_all_fields(spark):
     def doc(trusts):
         return json.dumps({"meta": {"type": "domains"}, "data": [{"ObjectIdentifier": "D", "Trusts": trusts}]})
