@@ -12,7 +12,7 @@ Two kinds of garbling, both found by precomputed sequences:
   just another letter, so the patterns are words: the corpus' own words garbled by all pairs of encodings. A garbled word is
   a pattern if the corpus holds it, but holds the correct word in ``RATIO`` times as many different texts, or in as many
   texts and ``RATIO`` times as many documents, so reposts of a garbled text don't hide it. Words of one or two letters need
-  ``SHORT_RATIO`` and a garbled form of another script with none of that script near. Counts cover all documents; pairs are
+  ``SHORT_RATIO`` and a longer garbled word near, or a garbled form of another script with none of that script near. Counts cover all documents; pairs are
   generated and joined distributed.
 
 The garbled words of a document are looked up by hash, in one pass if the whole table of garbled words is at most ``block``
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +44,7 @@ from graphloom.runtime import cut
 RATIO = 3
 SHORT_RATIO = 50
 BLOCK = 300_000
+NEAR = 40  # characters between a short garbled word and a longer one that confirms it
 
 # Public encodings, and letters that are frequent in the languages written with them.
 UTF8_READERS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "mac_roman", "iso8859-2", "iso8859-15", "cp1254", "cp1257"]
@@ -137,6 +139,8 @@ def _context(garbled: str, lowered: bool, original: str = "") -> str | None:
         return "letter"
     if len(garbled) == 2 and garbled[0] in _OPENING and (garbled[1].isalpha() or garbled[1] in _CLOSING) or "\u0590" <= original < "\u0700":
         return "twin"
+    if len(garbled) == 2 and garbled[0].islower() and garbled[0] != "ƒ" and all(map(_latin, garbled)):  # ƒ is used as a sign
+        return "twin"
     if garbled[0].isalpha() and all(c in _CLOSING for c in garbled[1:]):
         return "quote" if len(garbled) == 2 and garbled[0].isupper() else "twin" if _script(original) not in ("", "LATIN") else ""
     return ""
@@ -337,16 +341,23 @@ def _sequence_spans(text: str, hits: list) -> list[tuple[int, int, str, bool]]:
 
 
 def _word_spans(text: str, words: dict[str, str]) -> list[tuple[int, int, str, bool]]:
-    """The garbled words that stand in a text, whole or as a part between apostrophes and no-break spaces."""
-    out = []
+    """The garbled words that stand in a text, whole or as a part between apostrophes and no-break spaces.
+
+    A word of one or two letters counts beside a longer one, or if it is of another script of which there is nothing near."""
+    out, short = [], []
     for m in _TOKEN.finditer(text):
         for start, end in [m.span(), *(p.span() for p in _PIECES.finditer(text, *m.span()))]:
             word = text[start:end]
             if word in words:
-                script = _SCRIPTS.get(_script(word[0])) if len(words[word]) < 3 else None
-                if script is None or not script.search(text[max(0, start - 15) : start] + text[end : end + 15]):
-                    out.append((start, end, words[word], True))
-                    break
+                (short if len(words[word]) < 3 else out).append((start, end, words[word], True))
+                break
+    starts, ends = [s[0] for s in out], [s[1] for s in out]
+    for start, end, right, sure in short:
+        k = bisect_left(starts, start)
+        script = _SCRIPTS.get(_script(text[start]))
+        beside = k < len(starts) and starts[k] - end <= NEAR or k > 0 and start - ends[k - 1] <= NEAR
+        if beside or script is not None and _script(text[start]) != _script(right[-1]) and not script.search(text[max(0, start - 15) : start] + text[end : end + 15]):
+            out.append((start, end, right, sure))
     return out
 
 
@@ -497,7 +508,7 @@ def garbled_words(counts: DataFrame, ratio: int = RATIO, short_ratio: int = SHOR
                 if not _may_be_right(word) or len(word) < 3 and not word.isalpha():
                     continue
                 for g in garblings(word):
-                    if letters.value.issuperset(g) and (len(word) > 2 or (s := _script(g[0])) in _SCRIPTS and s != _script(word[-1])):
+                    if letters.value.issuperset(g):
                         out.append((g, word, n, n_texts))
             if out:
                 g, w, n, t = zip(*out, strict=True)

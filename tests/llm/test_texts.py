@@ -328,3 +328,20 @@ def test_short_words_and_long_tokens(spark):
     docs = spark.createDataFrame([*right, (200, "vai até " + "à".encode("cp1252").decode("cp1253") + " rede"), (201, long.encode("cp1252").decode("cp437")), (202, "το ΰ και α")], DOCS)
     got = {r.doc_id: r.text for r in garble.garbled_documents(docs).collect()}
     assert got == {200: "vai até à rede", 201: long}
+
+
+def test_short_words_beside_longer_ones(spark):
+    right = [(i, f"проверка {i} в журнале и запись в группе") for i in range(120)]
+    wrong = "запись в журнале и в группе"
+    docs = spark.createDataFrame([*right, (200, wrong.encode("cp1251").decode("cp1252")), (201, "â é è: dix â, rien ici")], DOCS)
+    assert {r.doc_id: r.text for r in garble.garbled_documents(docs).collect()} == {200: wrong}
+
+
+def test_many_short_words_after_the_last_longer_one():
+    words = {"xyzö": "right", "å": "е"}
+    assert garble.repair("xyzö å å " + "q " * 60 + "å å", words)[0] == "right е е " + "q " * 60 + "å å"
+
+
+def test_one_garbled_letter_in_a_word():
+    assert garble.repair("usunął zbƒôdne wpisy")[0] == "usunął zbędne wpisy"
+    assert garble.spans("æóðíàëå") == []
