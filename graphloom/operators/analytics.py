@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.operators.betweenness import whole_graph_scores
 from graphloom.operators.traverse import bfs, distances
 from graphloom.runtime import cut
 
 # Relationship types that give control of a computer.
 ADMIN_TYPES = ["AdminTo", "GenericAll", "GenericWrite", "Owns", "WriteDacl", "WriteOwner", "AllExtendedRights", "ForceChangePassword", "AddMember"]
 SEARCH_ORDER = ["Domain", "User", "Group", "Computer"]
+WHOLE_GRAPH = 12_000_000  # edges (undirected ones twice) up to which betweenness gives the whole graph to every task
 
 
 def oriented(edges: DataFrame, directed: bool) -> DataFrame:
@@ -22,14 +24,36 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = True,
     """id, source, target, rel_type, score of every edge (Brandes, unweighted; parallel edges count apart).
 
     Exact for at most ``sample`` nodes, else from ``sample`` sources (the first by hash, the same in every run) scaled to
-    all. All sources advance together, one level a round: path counts are summed forward, dependencies backward."""
+    all. Up to WHOLE_GRAPH edges, tasks that hold the graph share the sources; a larger graph stays distributed, with a
+    row for every pair of source and node."""
     edges = edges if types is None else edges.where(F.col("rel_type").isin(*types))
     n = nodes.count()
     chosen = nodes.select(F.col("id").alias("s"))
     if n > sample:
         chosen = chosen.orderBy(F.xxhash64("s"), "s").limit(sample)
     scale = n / sample if n > sample else 1.0
-    hops = cut(oriented(edges, directed))
+    one = lambda c: F.xxhash64(F.col(c).cast("string"))
+    two = lambda c: F.hash(F.col(c).cast("string")).cast("bigint")
+    check = F.shiftleft(two("src"), 32).bitwiseOR(two("dst").bitwiseAND(F.lit(0xFFFFFFFF)))
+    hashed = oriented(edges, directed).select("id", one("src").alias("src"), one("dst").alias("dst"), check.alias("check")).persist()
+    try:
+        total = None
+        if hashed.count() <= WHOLE_GRAPH:
+            total = whole_graph_scores(hashed, [r.h for r in chosen.where("s is not null").select(one("s").alias("h")).collect()])
+    finally:
+        hashed.unpersist()
+    if total is None:
+        total = _scores_by_rows(chosen, oriented(edges, directed))
+    ends = edges.select("id", "source", "target", "rel_type")
+    if total is None:
+        return ends.withColumn("score", F.lit(0.0))
+    total = total.groupBy("id").agg((F.sum("c") * scale / (1 if directed else 2)).alias("score"))
+    return ends.join(total, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def _scores_by_rows(chosen: DataFrame, hops: DataFrame) -> DataFrame | None:
+    """id, c: all sources advance together, one level a round: path counts are summed forward, dependencies backward."""
+    hops = cut(hops)
     frontier = cut(chosen.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
     seen, steps = frontier.select("s", F.col("v").alias("w")), []
     while True:
@@ -49,14 +73,12 @@ def edge_betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = True,
         part = cut(step.join(low, ["s", "w"]).select("s", "v", "id", (F.col("sigma_v") / F.col("sigma_w") * (1 + F.col("delta"))).alias("c")))
         delta = part.groupBy("s", F.col("v").alias("w")).agg(F.sum("c").alias("delta"))
         scores.append(part.groupBy("id").agg(F.sum("c").alias("c")))
-    ends = edges.select("id", "source", "target", "rel_type")
     if not scores:
-        return ends.withColumn("score", F.lit(0.0))
+        return None
     total = scores[0]
     for s in scores[1:]:
         total = total.unionByName(s)
-    total = total.groupBy("id").agg((F.sum("c") * scale / (1 if directed else 2)).alias("score"))
-    return ends.join(total, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return total
 
 
 def above_threshold(scores: DataFrame, least: float) -> DataFrame:

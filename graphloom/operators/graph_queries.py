@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.operators import analytics
 from graphloom.runtime import cut, table
 from graphloom.sources import collector
-from graphloom.sources.tables import object_graph
+from graphloom.sources.tables import object_edges, object_graph
 
 
 def _objects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -60,8 +60,8 @@ def g_label_report(spark, d):
 
 def g_edge_betweenness(spark, d):
     """Betweenness of every edge of the object graph, whatever its type, from a sample of 100 of all nodes as sources."""
-    nodes, edges = _objects(spark, d)
-    return analytics.edge_betweenness(nodes, cut(edges.select("id", "source", "target", "rel_type"))).withColumn("score", F.round("score", 6))
+    nodes, _ = _objects(spark, d)
+    return analytics.edge_betweenness(nodes, object_edges(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def i_edges(spark, d):

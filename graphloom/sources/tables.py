@@ -55,3 +55,11 @@ def object_graph(spark: SparkSession, d: str) -> Graph:
     likelihood = F.get_json_object("e.properties", "$.exploit_likelihood").try_cast("double")
     rels = first.select(F.col("e.edge_id").alias("id"), "source", "target", "rel_type", F.col("e.loaded_at").alias("loaded_at"), likelihood.alias("exploit_likelihood"))
     return Graph(tuple(nodes), (RelTable(rels),))
+
+
+def object_edges(spark: SparkSession, d: str) -> DataFrame:
+    """id, source, target, rel_type of the object graph's relationships: a struct in an aggregate isn't pruned, so the
+    properties are left out here."""
+    edges = table(spark, d, "graph_edges").where("source is not null and target is not null and rel_type is not null")
+    first = edges.groupBy("source", "target", "rel_type").agg(F.min(F.struct("loaded_at", "edge_id")).alias("e"))
+    return first.select(F.col("e.edge_id").alias("id"), "source", "target", "rel_type")

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from graphloom.operators import analytics, graph_queries
+from graphloom.operators.betweenness import whole_graph_scores
 from graphloom.operators.traverse import bfs, distances
 from graphloom.session import GraphSession
 from graphloom.sources import collector
@@ -71,6 +72,30 @@ def test_betweenness_random(spark, seed):
     assert [got[k] for k in range(len(pairs))] == pytest.approx(brandes(8, pairs))
 
 
+def test_betweenness_needs_no_round_of_joins_a_level(spark, monkeypatch):
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(150)] + [(i, i + 1) for i in range(40, 46)] + [(3, 3), (5, 40), (5, 40)]
+    nodes, edges = graph(spark, [(str(a), str(b)) for a, b in pairs], {"alone": "N"})
+    edges = edges.unionByName(edges.selectExpr("-1L as id", "cast(null as string) as source", "target", "rel_type").limit(1))
+    rows = {(w, d): {r.id: r.score for r in _betweenness(monkeypatch, w, nodes, edges, d)} for w in (0, 1_000) for d in (True, False)}
+    for d in (True, False):
+        assert rows[0, d] == pytest.approx(rows[1_000, d]) and rows[1_000, d][-1] == 0.0 and len(rows[0, d]) == len(pairs) + 1
+    assert [rows[1_000, True][k] for k in range(len(pairs))] == pytest.approx(brandes(47, pairs))
+    clash = spark.createDataFrame([(1, 7, 8, 1 << 32 | 2), (2, 7, 9, 2 << 32 | 3)], "id bigint, src bigint, dst bigint, check bigint")
+    assert whole_graph_scores(clash, [7]) is None and whole_graph_scores(clash.where("id = 1"), [7]).collect() == [(1, 1.0)]
+
+
+def _betweenness(monkeypatch, whole, nodes, edges, directed):
+    def no_rounds(df):
+        raise AssertionError("a round of joins")
+
+    with monkeypatch.context() as m:
+        m.setattr(analytics, "WHOLE_GRAPH", whole, raising=False)
+        if whole:
+            m.setattr(analytics, "cut", no_rounds)
+        return analytics.edge_betweenness(nodes, edges, directed).collect()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rnd = random.Random(seed)
