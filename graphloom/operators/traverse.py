@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.runtime import cut
@@ -99,6 +103,105 @@ def _levels(edges: DataFrame, seeds: DataFrame, low: int, high: int, paths: bool
     return found
 
 
+@dataclass(frozen=True)
+class Half:
+    """Relationships in one direction: ``edges`` (src, dst), whose ends have exactly these labels."""
+
+    edges: DataFrame
+    near: tuple[str, ...]
+    far: tuple[str, ...]
+
+
+def stages(halves: list[Half], start: set[tuple[str, ...]], goal: set[tuple[str, ...]], high: int) -> list[list[Half]]:
+    """For each level the relationships that lead on from labels the search can have come to, and to labels from which
+    the goal can still be reached."""
+    left = [goal]
+    for _ in range(high):
+        left.append(left[-1] | {h.near for h in halves if h.far in left[-1]})
+    here, out = start, []
+    for depth in range(1, high + 1):
+        some = [h for h in halves if h.near in here & left[high - depth + 1] and h.far in left[high - depth]]
+        if not some:
+            break
+        out.append(some)
+        here = {h.far for h in some}
+    return out
+
+
+def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]], low: int, every: bool, targets: DataFrame | None = None, filtered: bool = False, limit: int | None = None, drop_seed: bool = False, drop_node: bool = False) -> DataFrame:
+    """What ``bfs`` finds, as seed, node, depth and times, with the relationships of each level known by labels (``stages``).
+
+    ``times``: how many rows a row stands for: with ``every`` the number of shortest paths. ``drop_seed`` (only with
+    ``every``; then rows of equal seeds count) and ``drop_node``: without that column, rows summed. ``targets`` (node) end
+    the search once all seeds have them; ``filtered``: they are fewer than all nodes with the goal's labels. Levels meet
+    earlier ones only where labels are shared, and the last level is neither counted nor checkpointed."""
+    uses = Counter(id(h) for level in levels for h in level)
+    kept = {id(h): h.edges.where("src is not null and dst is not null").select("src", "dst") for level in levels for h in level}
+    shared = [kept[k].persist() for k, n in uses.items() if n > 1]
+    weight = [F.sum("times").alias("times")]
+    try:
+        first = seeds.select("seed").where("seed is not null")
+        first = first.groupBy("seed").agg(F.count("*").alias("times")) if drop_seed else first.distinct().withColumn("times", F.lit(1).cast("bigint"))
+        frontier = cut(first.select("seed", F.col("seed").alias("node"), "times"))
+        n = frontier.count()
+        missing = None
+        if targets is not None and n <= SMALL_FRONTIER and not every:
+            wanted = targets.select("node").where("node is not null").distinct()
+            wanted = cut(wanted) if filtered else wanted
+            missing = n * wanted.count()
+        visited, found = [({h.near for h in levels[0]} if levels else set(), frontier.select("seed", "node"))], []
+        for depth, level in enumerate(levels, 1):
+            far = {h.far for h in level}
+            last = depth == len(levels) and limit is None
+            met = [df for labels, df in visited if labels & far]
+            ahead = frontier.select("seed", "node", "times").withColumnRenamed("node", "at")
+            edges = reduce(DataFrame.unionByName, (kept[id(h)].withColumn("hit", F.lit(h.far in goal)) for h in level))
+            key = ["seed", "node", "hit"]
+            if last and drop_seed and not met:  # paths on from a node are the same whatever seed they came from
+                ahead, key = ahead.groupBy("at").agg(*weight), ["node", "hit"]
+            step = edges.join(_ahead(ahead, n, SMALL_FRONTIER), F.col("at") == F.col("src")).select(*(["seed"] if "seed" in key else []), F.col("dst").alias("node"), "hit", "times")
+            if met:
+                step = step.join(reduce(DataFrame.unionByName, met), ["seed", "node"], "left_anti")
+            if last and depth < low:
+                break
+            if last:
+                found.append((step if every else step.select(*key).distinct().withColumn("times", F.lit(1).cast("bigint"))).where("hit").withColumn("depth", F.lit(depth)))
+                break
+            step = step.groupBy(*key).agg(*weight) if every else step.select(*key).distinct().withColumn("times", F.lit(1).cast("bigint"))
+            frontier = cut(step)
+            if missing and filtered:
+                n, hits = frontier.join(wanted.withColumn("is_wanted", F.lit(1)), "node", "left").agg(F.count("*"), F.count("is_wanted")).first()
+            else:
+                n, hits = frontier.agg(F.count("*"), F.count_if("hit")).first()
+            if limit is not None and n > limit:
+                raise ResourceLimitError(f"level {depth} has {n} rows, more than {limit}")
+            if not n:
+                break
+            visited.append((far, frontier.select("seed", "node")))
+            if depth >= low:
+                found.append(frontier.where("hit").withColumn("depth", F.lit(depth)))
+            if missing is not None:
+                missing -= hits
+                if missing == 0:
+                    break
+        if not found:
+            found = [frontier.where(F.lit(False)).withColumn("depth", F.lit(0))]
+        columns = [*([] if drop_seed else ["seed"]), *([] if drop_node else ["node"]), "depth"]
+        every_level = reduce(DataFrame.unionByName, (df.select(*columns, "times") for df in found))
+        return every_level.groupBy(*columns).agg(*weight) if drop_seed or drop_node else every_level
+    finally:
+        for df in shared:
+            df.unpersist()
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as the column says, without it; never more than 65,536 at once."""
+    block, one = f"{times}_block", f"{times}_one"
+    df = df.withColumn(block, F.explode(F.expr(f"sequence(1L, (`{times}` + 65535) div 65536)")))
+    rest = F.least(F.lit(65_536), F.col(times) - (F.col(block) - 1) * 65_536).cast("int")
+    return df.withColumn(one, F.explode(F.array_repeat(F.lit(True), rest))).drop(times, block, one)
+
+
 def distances(edges: DataFrame, seeds: DataFrame, high: int = 1_000_000) -> DataFrame:
     """node, hops: distance from the nearest seed, all seeds at once (hops 0 for the seeds). ``edges``: src, dst."""
     edges = edges.select("src", "dst").where("src is not null and dst is not null").persist()

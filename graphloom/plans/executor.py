@@ -8,6 +8,7 @@ see is decided here: which tables can match at all, which node joins are needles
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import count
@@ -19,10 +20,11 @@ from graphloom.cypher import ast as A
 from graphloom.cypher.ast import QueryError
 from graphloom.cypher.parser import has_aggregate, is_aggregate
 from graphloom.model import Graph, RelTable, may_have, union_tables
-from graphloom.operators.traverse import bfs
+from graphloom.operators.traverse import Half, bfs, repeated, staged, stages
 from graphloom.plans.expressions import Compiler, Val, kind_of, property_key, raw_equal, with_col
 
 _AGG = "\0agg"
+STAGED = 16  # hops up to which a search looks ahead by labels
 
 
 @dataclass
@@ -180,10 +182,13 @@ class Executor:
         self.spark, self.graph, self.params, self.frontier_limit = spark, graph, params or {}, frontier_limit
         self.stats, self._n, self.used, self.star = Stats(), count(), set(), False
         self.whole_nodes: set[str] = set()
+        self.named: Counter[str] = Counter()  # how often a variable stands in the statement
 
     # --- statements
     def run(self, statement: A.Statement) -> DataFrame | None:
         self.used, self.whole_nodes = _used_vars(statement), _whole_nodes(statement)
+        self.named = Counter(x.name if isinstance(x, A.Var) else x.var for x in A.walk(statement) if isinstance(x, A.Var | A.NodePat | A.RelPat | A.PathPat))
+        self.read_only = statement.is_read_only()
         self.star = any(isinstance(c, A.Project) and c.star for q in statement.parts for c in q.clauses)
         results = [self.query(q) for q in statement.parts]
         if len(results) == 1:
@@ -492,6 +497,9 @@ class Executor:
         elif far.labels or far.props:
             nodes, end = self.scan(far, ends)
             targets = nodes.select(F.col(end.cols["id"]).alias("node"))
+        levels = None if paths or several or taken or known is not None or rel.props else self._levels(rel, backwards, near, far)
+        if levels is not None:
+            return self._staged(state, near, rel, far, path, bound, tables, rels, every, targets, *levels)
         found = bfs(flat, df.select(seed.alias("seed")), max(1, rel.hops[0]), rel.hops[1], paths or every or several, every, pairs, targets, self.frontier_limit, bool(taken))
         mark = self.fresh("bfs")
         found = found.select(*(F.col(c).alias(f"{mark}_{c}") for c in found.columns))
@@ -517,6 +525,49 @@ class Executor:
                 state.scope[rel.var] = Bound("value", {"value": f"{mark}_rels"}, {}, Val(None, "list", elem=elem))
         return state, end, (mark, elem)
 
+    def _levels(self, rel: A.RelPat, backwards: bool, near: Bound, far: A.NodePat) -> tuple[list[list[Half]], set] | None:
+        """The relationships each level of a search can use, and the label sets of its end, if the tables tell."""
+        tables = self.graph.rel_tables(rel.types)
+        if near.sets is None or rel.hops[1] > STAGED or not tables or not self.graph.is_closed(tables):
+            return None
+        direction = {"out": "in", "in": "out"}.get(rel.direction, "both") if backwards else rel.direction
+        halves = []
+        for t in tables:
+            if direction != "in":
+                halves.append(Half(t.df.select(F.col("source").alias("src"), F.col("target").alias("dst")), t.source_labels, t.target_labels))
+            if direction != "out":
+                df = t.df.where("source <> target") if direction == "both" else t.df
+                halves.append(Half(df.select(F.col("target").alias("src"), F.col("source").alias("dst")), t.target_labels, t.source_labels))
+        goal = {h.far for h in halves if may_have(h.far, far.labels)}
+        return stages(halves, near.sets, goal, rel.hops[1]), goal
+
+    def _once(self, name: str | None) -> bool:
+        """No other place of the statement needs the variable."""
+        return self.read_only and not self.star and (not name or name not in self.used and self.named[name] == 1)
+
+    def _staged(self, state: State, near: Bound, rel: A.RelPat, far: A.NodePat, path: A.PathPat, bound: Bound, tables: list, rels: list, every: bool, targets: DataFrame | None, levels: list, goal: set) -> tuple[State, Bound, Any]:
+        """A search of which neither nodes nor relationships are asked: paths are counted, and an end that nothing else needs
+        is summed away."""
+        short = len(path.parts) == 3 and not rels
+        here = next(k for k in path.parts[::2] if k is not far)
+        drop_seed = short and every and self._once(here.var) and not set(state.scope) - {here.var} and near.cols["id"].strip("`") in state.df.columns
+        drop_node = short and self._once(far.var) and not far.props and not (far.var and far.var in state.scope)
+        seed = F.col(near.cols["id"])
+        mark = self.fresh("bfs")
+        found = staged(levels, state.df.select(seed.alias("seed")), goal, max(1, rel.hops[0]), every, targets, bool(far.props), self.frontier_limit, drop_seed, drop_node)
+        found = found.select(*(F.col(c).alias(f"{mark}_{c}") for c in found.columns))
+        if drop_seed:
+            state = State(found, {})
+        else:
+            state = State(state.df.join(found, seed == F.col(f"{mark}_seed")), dict(state.scope))
+        if drop_node:
+            end = Bound("node", {}, {}, sets=goal)
+        else:
+            state, end = self._arrive(state, F.col(f"{mark}_node"), far, None, goal, tables)
+        if every or drop_node:
+            state = replace(state, df=repeated(state.df, f"{mark}_times"))
+        return state, end, (mark, Val(None, "rel", props={k: v for k, v in bound.kinds.items() if k not in ("src", "dst")}))
+
     def _bind_length(self, state: State, name: str, nodes: list[Bound], steps: list[Any]) -> State:
         """A path of which only the length is asked: no nodes or relationships are carried along."""
         hops = reduce(Column.__add__, (F.lit(1) if isinstance(s, Bound) else F.col(f"{s[0]}_depth") for s in steps), F.lit(0))

@@ -11,6 +11,7 @@ from graphloom.cypher import queries
 from graphloom.cypher.ast import QueryError
 from graphloom.cypher.parser import parse
 from graphloom.model import Graph, NodeTable, RelTable
+from graphloom.operators import traverse
 from graphloom.operators.traverse import ResourceLimitError
 from graphloom.session import GraphSession
 
@@ -276,6 +277,26 @@ def test_shortest_paths_between_segments_need_no_product(spark):
     assert sorted(both.rows()) == [(0, 5, 5), (1, 4, 3)]
 
 
+def stages_graph(spark, monkeypatch):
+    """A to B to C, and many D that lead nowhere; all frames that a search checkpoints."""
+    node = lambda label, a, b: NodeTable(spark.range(a, b).selectExpr("id", "id as k"), (label,))
+    rel = lambda rows, kind, s, t: RelTable(spark.createDataFrame(rows, "id bigint, source bigint, target bigint"), kind, (s,), (t,))
+    rels = rel([(1, 0, 10), (2, 0, 11), (3, 1, 11)], "R", "A", "B"), rel([(4, 10, 20), (5, 11, 20), (6, 11, 21), (7, 10, 20)], "S", "B", "C"), rel([(8 + i, 0, 30 + i) for i in range(10)], "T", "A", "D")
+    frames, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: frames.append(df) or cut(df))
+    return GraphSession(spark, Graph((node("A", 0, 2), node("B", 10, 13), node("C", 20, 23), node("D", 30, 40)), rels)), frames
+
+
+def test_searches_take_only_what_leads_to_the_end(spark, monkeypatch):
+    s, frames = stages_graph(spark, monkeypatch)
+    got = s.query("MATCH p = shortestPath((a:A)-[*1..2]-(c:C)) RETURN a.k AS a, length(p) AS len, count(*) AS n").rows()
+    assert sorted(got) == [(0, 2, 2), (1, 2, 2)]
+    assert max(df.agg({"node": "max"}).first()[0] for df in frames if "node" in df.columns) == 11
+    assert sorted(s.query("MATCH p = shortestPath((a:A)-[*1..3]-(c)) RETURN a.k AS a, c.k AS c, length(p) AS len").rows()) == sorted(
+        [(0, 10, 1), (0, 11, 1), (0, 20, 2), (0, 21, 2), (0, 1, 2), (1, 11, 1), (1, 20, 2), (1, 21, 2), (1, 0, 2), (1, 10, 3)] + [(a, d, k) for a, k in ((0, 1), (1, 3)) for d in range(30, 40)]
+    )
+
+
 def test_session_catalogs(spark):
     s = GraphSession(spark, make(spark, [(1, ["A"], "x", 1), (2, ["B"], "y", None)], [(1, 2, "R", 5)]), cached=2)
     for text in ("MATCH (n) RETURN n.name AS n", "MATCH (n:A) RETURN n.name AS n", "MATCH (n:B) RETURN n.name AS n"):
