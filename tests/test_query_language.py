@@ -297,6 +297,15 @@ def test_searches_take_only_what_leads_to_the_end(spark, monkeypatch):
     )
 
 
+def test_all_shortest_paths_are_counted_without_the_paths(spark, monkeypatch):
+    s, frames = stages_graph(spark, monkeypatch)
+    for end, want in (("c.k", [(20, 2, 4), (21, 2, 2)]), ("a.k", [(0, 2, 4), (1, 2, 2)]), ("0", [(0, 2, 6)])):
+        assert sorted(s.query(f"MATCH p = allShortestPaths((a:A)-[*1..2]-(c:C)) RETURN {end} AS k, length(p) AS len, count(*) AS n").rows()) == want
+    assert sorted(s.query("MATCH p = allShortestPaths((a:A)-[*1..2]-(c:C {k: 20})) RETURN a.k AS a, c.k AS c, length(p) AS len").rows()) == [(0, 20, 2)] * 3 + [(1, 20, 2)]
+    assert frames and not any("rels" in df.columns for df in frames)
+    assert traverse.repeated(spark.sql("select 1 as k, 70000L as times"), "times").count() == 70_000
+
+
 def test_session_catalogs(spark):
     s = GraphSession(spark, make(spark, [(1, ["A"], "x", 1), (2, ["B"], "y", None)], [(1, 2, "R", 5)]), cached=2)
     for text in ("MATCH (n) RETURN n.name AS n", "MATCH (n:A) RETURN n.name AS n", "MATCH (n:B) RETURN n.name AS n"):
