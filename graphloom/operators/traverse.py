@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.runtime import cut
+from graphloom.runtime import cut, freed
 
 
 SMALL_FRONTIER = 100_000  # rows (a twentieth of it with paths) up to which a counted frontier is broadcast
@@ -19,6 +19,12 @@ def _ahead(frontier: DataFrame, n: int, most: int) -> DataFrame:
     return F.broadcast(frontier) if n <= most else frontier
 
 
+def _level(df: DataFrame) -> DataFrame:
+    """A checkpoint after which nothing is left of the shuffles that made it."""
+    with freed(df.sparkSession):
+        return cut(df.select("*"))  # a new plan, made under the setting
+
+
 class ResourceLimitError(RuntimeError):
     """A frontier or result grew beyond its limit."""
 
@@ -134,31 +140,39 @@ def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]
     ``times``: how many rows a row stands for: with ``every`` the number of shortest paths. ``drop_seed`` (only with
     ``every``; then rows of equal seeds count) and ``drop_node``: without that column, rows summed. ``targets`` (node) end
     the search once all seeds have them; ``filtered``: they are fewer than all nodes with the goal's labels. Levels meet
-    earlier ones only where labels are shared, and the last level is neither counted nor checkpointed."""
+    earlier ones only where labels are shared, and the last level is neither counted nor checkpointed. After the last level
+    that can meet an earlier one, ``drop_seed`` also keeps the seeds out of the levels: one row a node instead of one a seed
+    and node."""
     uses = Counter(id(h) for level in levels for h in level)
     kept = {id(h): h.edges.where("src is not null and dst is not null").select("src", "dst") for level in levels for h in level}
     shared = [kept[k].persist() for k, n in uses.items() if n > 1]
     weight = [F.sum("times").alias("times")]
+    seen, apart = {h.near for h in levels[0]} if levels else set(), 1  # the first level from which on none meets an earlier one
+    for depth, level in enumerate(levels, 1):
+        far = {h.far for h in level}
+        apart = depth + 1 if seen & far else apart
+        seen |= far
+    apart = apart if drop_seed and limit is None else len(levels) + 1
     try:
         first = seeds.select("seed").where("seed is not null")
         first = first.groupBy("seed").agg(F.count("*").alias("times")) if drop_seed else first.distinct().withColumn("times", F.lit(1).cast("bigint"))
-        frontier = cut(first.select("seed", F.col("seed").alias("node"), "times"))
+        frontier = _level(first.select(*(["seed"] if apart > 1 else []), F.col("seed").alias("node"), "times"))
         n = frontier.count()
         missing = None
         if targets is not None and n <= SMALL_FRONTIER and not every:
             wanted = targets.select("node").where("node is not null").distinct()
             wanted = cut(wanted) if filtered else wanted
             missing = n * wanted.count()
-        visited, found = [({h.near for h in levels[0]} if levels else set(), frontier.select("seed", "node"))], []
+        visited, found = [({h.near for h in levels[0]}, frontier.select("seed", "node"))] if levels and apart > 1 else [], []
         for depth, level in enumerate(levels, 1):
             far = {h.far for h in level}
             last = depth == len(levels) and limit is None
             met = [df for labels, df in visited if labels & far]
-            ahead = frontier.select("seed", "node", "times").withColumnRenamed("node", "at")
+            ahead = frontier.drop("hit").withColumnRenamed("node", "at")
             edges = reduce(DataFrame.unionByName, (kept[id(h)].withColumn("hit", F.lit(h.far in goal)) for h in level))
             key = ["seed", "node", "hit"]
-            if last and drop_seed and not met:  # paths on from a node are the same whatever seed they came from
-                ahead, key = ahead.groupBy("at").agg(*weight), ["node", "hit"]
+            if depth >= apart:  # paths on from a node are the same whatever seed they came from
+                ahead, key = ahead.groupBy("at").agg(*weight) if "seed" in ahead.columns else ahead, ["node", "hit"]
             step = edges.join(_ahead(ahead, n, SMALL_FRONTIER), F.col("at") == F.col("src")).select(*(["seed"] if "seed" in key else []), F.col("dst").alias("node"), "hit", "times")
             if met:
                 step = step.join(reduce(DataFrame.unionByName, met), ["seed", "node"], "left_anti")
@@ -168,7 +182,7 @@ def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]
                 found.append((step if every else step.select(*key).distinct().withColumn("times", F.lit(1).cast("bigint"))).where("hit").withColumn("depth", F.lit(depth)))
                 break
             step = step.groupBy(*key).agg(*weight) if every else step.select(*key).distinct().withColumn("times", F.lit(1).cast("bigint"))
-            frontier = cut(step)
+            frontier = _level(step)
             if missing and filtered:
                 n, hits = frontier.join(wanted.withColumn("is_wanted", F.lit(1)), "node", "left").agg(F.count("*"), F.count("is_wanted")).first()
             else:
@@ -177,7 +191,8 @@ def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]
                 raise ResourceLimitError(f"level {depth} has {n} rows, more than {limit}")
             if not n:
                 break
-            visited.append((far, frontier.select("seed", "node")))
+            if depth < apart:
+                visited.append((far, frontier.select("seed", "node")))
             if depth >= low:
                 found.append(frontier.where("hit").withColumn("depth", F.lit(depth)))
             if missing is not None:

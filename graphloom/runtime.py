@@ -7,9 +7,13 @@ import os
 import re
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(app: str = "graphloom", cores: int | None = None) -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings its own."""
@@ -47,6 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside drop the shuffle files they wrote as soon as they have run, not when the driver happens to collect
+    its garbage; for frames that are run once."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle that AQE can't size: as many as the session's setting or as the input has, if more."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -306,6 +308,51 @@ def test_all_shortest_paths_are_counted_without_the_paths(spark, monkeypatch):
     assert traverse.repeated(spark.sql("select 1 as k, 70000L as times"), "times").count() == 70_000
 
 
+def test_counted_paths_are_kept_by_node_where_no_level_meets_an_earlier_one(spark, monkeypatch):
+    s, frames = stages_graph(spark, monkeypatch)
+    assert s.query("MATCH p = allShortestPaths((a:A)-[*1..2]-(c:C)) RETURN c.k AS k, length(p) AS len, count(*) AS n ORDER BY k").rows() == [(20, 2, 4), (21, 2, 2)]
+    assert len(frames) == 2 and not any("seed" in df.columns for df in frames) and frames[1].count() == 2
+    del frames[:]
+    assert sorted(s.query("MATCH p = allShortestPaths((a:A)-[*1..2]-(c:C)) RETURN a.k AS k, length(p) AS len, count(*) AS n").rows()) == [(0, 2, 4), (1, 2, 2)]
+    assert all("seed" in df.columns for df in frames)
+
+
+def test_a_level_leaves_no_shuffle_files(spark):
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: {b for b in map(str, (lambda s: [s.apply(i) for i in range(s.size())])(store.getAllBlocks())) if b.startswith("shuffle_")}
+    before = blocks()
+    level = traverse._level(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    for _ in range(50):  # they are removed in the background
+        if not (left := blocks() - before):
+            break
+        time.sleep(0.1)
+    assert not left and level.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_counted_paths_where_some_levels_meet(spark, seed):
+    """A to B, C and B again, and on to D and E: seeds are needed up to the second level only; against paths listed in Python."""
+    rnd = random.Random(seed)
+    ids = {label: range(10 * i, 10 * i + 4) for i, label in enumerate("ABCDE")}
+    pairs = {kind: [(rnd.choice(ids[kind[0]]), rnd.choice(ids[kind[1]])) for _ in range(7)] for kind in ("AB", "AC", "CB", "CD", "DE")}
+    tables = [RelTable(spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(some)], "id bigint, source bigint, target bigint"), kind, (kind[0],), (kind[1],)) for kind, some in pairs.items()]
+    graph = Graph(tuple(NodeTable(spark.range(r.start, r.stop).selectExpr("id", "id as k"), (label,)) for label, r in ids.items()), tuple(tables))
+    edges, want = [e for some in pairs.values() for e in some], Counter()
+    for a in ids["A"]:
+        level, seen = Counter([a]), {a}
+        for depth in (1, 2, 3):
+            ahead: Counter = Counter()
+            for s, t in edges:
+                if s in level and t not in seen:
+                    ahead[t] += level[s]
+            seen |= set(ahead)
+            level = ahead
+            for node, n in level.items():
+                want[node, depth] += n
+    got = GraphSession(spark, graph).query("MATCH p = allShortestPaths((a:A)-[*1..3]->(e)) RETURN e.k AS k, length(p) AS len, count(*) AS n").rows()
+    assert sorted(got) == sorted((*k, n) for k, n in want.items()) and {k[1] for k in want} == {1, 2, 3}
+
+
 def test_session_catalogs(spark):
     s = GraphSession(spark, make(spark, [(1, ["A"], "x", 1), (2, ["B"], "y", None)], [(1, 2, "R", 5)]), cached=2)
     for text in ("MATCH (n) RETURN n.name AS n", "MATCH (n:A) RETURN n.name AS n", "MATCH (n:B) RETURN n.name AS n"):
