@@ -8,10 +8,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.operators import reach
 from graphloom.runtime import cut, freed
 
-
 SMALL_FRONTIER = 100_000  # rows (a twentieth of it with paths) up to which a counted frontier is broadcast
+MANY_SEEDS, MANY_EDGES = 100, 100_000  # from which on reached nodes that are only counted are counted by arrays (``reach``)
 
 
 def _ahead(frontier: DataFrame, n: int, most: int) -> DataFrame:
@@ -142,7 +143,7 @@ def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]
     the search once all seeds have them; ``filtered``: they are fewer than all nodes with the goal's labels. Levels meet
     earlier ones only where labels are shared, and the last level is neither counted nor checkpointed. After the last level
     that can meet an earlier one, ``drop_seed`` also keeps the seeds out of the levels: one row a node instead of one a seed
-    and node."""
+    and node. Where many seeds only count what they reach in a large graph, no row is made for a pair at all (``reach``)."""
     uses = Counter(id(h) for level in levels for h in level)
     kept = {id(h): h.edges.where("src is not null and dst is not null").select("src", "dst") for level in levels for h in level}
     shared = [kept[k].persist() for k, n in uses.items() if n > 1]
@@ -158,6 +159,10 @@ def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]
         first = first.groupBy("seed").agg(F.count("*").alias("times")) if drop_seed else first.distinct().withColumn("times", F.lit(1).cast("bigint"))
         frontier = _level(first.select(*(["seed"] if apart > 1 else []), F.col("seed").alias("node"), "times"))
         n = frontier.count()
+        if drop_node and not every and limit is None and len(levels) > 1 and n >= MANY_SEEDS and _many(levels, kept):
+            counted = reach.numbers(levels, kept, frontier.select("seed"), goal, low)
+            if counted is not None:
+                return counted
         missing = None
         if targets is not None and n <= SMALL_FRONTIER and not every:
             wanted = targets.select("node").where("node is not null").distinct()
@@ -209,6 +214,16 @@ def staged(levels: list[list[Half]], seeds: DataFrame, goal: set[tuple[str, ...]
             df.unpersist()
 
 
+def _many(levels: list[list[Half]], edges: dict[int, DataFrame]) -> bool:
+    """Counted from the end, until they are enough."""
+    n = 0
+    for k in dict.fromkeys(id(h) for level in reversed(levels) for h in level):
+        n += edges[k].count()
+        if n >= MANY_EDGES:
+            return True
+    return False
+
+
 def repeated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as the column says, without it; never more than 65,536 at once."""
     block, one = f"{times}_block", f"{times}_one"

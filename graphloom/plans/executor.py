@@ -58,12 +58,14 @@ class Bound:
 class State:
     """Bindings so far; ``df`` None stands for one row without variables.
 
-    ``factors``: as long as ``df`` is nothing but the cross join ``product`` of independent parts, those parts."""
+    ``factors``: as long as ``df`` is nothing but the cross join ``product`` of independent parts, those parts.
+    ``packed``: as long as ``df`` is its first frame, the second with a row as often as the third, a column, says is the same."""
 
     df: DataFrame | None = None
     scope: dict[str, Bound] = field(default_factory=dict)
     factors: list[State] = field(default_factory=list)
     product: DataFrame | None = None
+    packed: tuple[DataFrame, DataFrame, str] | None = None
 
     def parts(self) -> list[State]:
         return self.factors if self.factors and self.product is self.df else []
@@ -565,7 +567,8 @@ class Executor:
         else:
             state, end = self._arrive(state, F.col(f"{mark}_node"), far, None, goal, tables)
         if every or drop_node:
-            state = replace(state, df=repeated(state.df, f"{mark}_times"))
+            df = repeated(state.df, f"{mark}_times")
+            state = replace(state, df=df, packed=(df, state.df, f"{mark}_times"))
         return state, end, (mark, Val(None, "rel", props={k: v for k, v in bound.kinds.items() if k not in ("src", "dst")}))
 
     def _bind_length(self, state: State, name: str, nodes: list[Bound], steps: list[Any]) -> State:
@@ -573,7 +576,10 @@ class Executor:
         hops = reduce(Column.__add__, (F.lit(1) if isinstance(s, Bound) else F.col(f"{s[0]}_depth") for s in steps), F.lit(0))
         col = self.fresh(name)
         bound = Bound("value", {"value": col}, {}, Val(None, "path", props={"hops": Val(None, "int")}))
-        return State(state.df.withColumn(col, hops.cast("bigint")), {**state.scope, name: bound})
+        longer = lambda df: df.withColumn(col, hops.cast("bigint"))
+        df, packed = longer(state.df), state.packed
+        packed = (df, longer(packed[1]), packed[2]) if packed and packed[0] is state.df else None
+        return State(df, {**state.scope, name: bound}, packed=packed)
 
     def _bind_path(self, state: State, name: str, nodes: list[Bound], steps: list[Any]) -> State:
         kinds: dict[str, Val] = {}
@@ -662,7 +668,7 @@ class Executor:
         if len(set(names)) != len(names):
             raise QueryError("two columns have the same name")
         df, exists, _ = self._flags(state, tuple(e for e, _ in items))
-        state = State(df, state.scope)
+        state = State(df, state.scope, packed=state.packed)
         grouped = any(has_aggregate(e) for e, _ in items)
         out = self._aggregate(state, items) if grouped else self._select(state, items, exists, keep=not clause.distinct)
         if clause.distinct:
@@ -727,8 +733,6 @@ class Executor:
                 scope[name] = state.scope[e.name]
             else:
                 scope[name] = self._value(name, compiler.compile(e), new)
-        df = self.frame(state)
-        df = df.withColumns(new) if new else df
         for b in {id(b): b for b in scope.values()}.values():
             keys += b.key()
             firsts += [F.first(c).alias(c.strip("`")) for c in b.cols.values() if c not in b.key()]
@@ -736,8 +740,12 @@ class Executor:
         for e, name in items:
             if has_aggregate(e):
                 after[name] = self._lift(e, made)
+        df, times = self.frame(state), None
+        if state.packed and state.packed[0] is df and all(call.star and call.name == "count" for call in made.values()):
+            _, df, times = state.packed  # rows are only counted, so they need not be made
+        df = df.withColumns(new) if new else df
         for var, call in made.items():
-            val = self._aggregation(call, compiler)
+            val = self._aggregation(call, compiler) if times is None else Val(F.coalesce(F.sum(times), F.lit(0).cast("bigint")), "int")
             col = self.fresh("agg")
             aggs.append(val.col.alias(col))
             made[var] = Bound("value", {"value": col}, {}, replace(val, col=None))

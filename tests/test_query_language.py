@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from graphloom.cypher import queries
 from graphloom.cypher.ast import QueryError
 from graphloom.cypher.parser import parse
 from graphloom.model import Graph, NodeTable, RelTable
-from graphloom.operators import traverse
+from graphloom.operators import reach, traverse
 from graphloom.operators.traverse import ResourceLimitError
 from graphloom.session import GraphSession
 
@@ -353,6 +354,60 @@ def test_counted_paths_where_some_levels_meet(spark, seed):
     assert sorted(got) == sorted((*k, n) for k, n in want.items()) and {k[1] for k in want} == {1, 2, 3}
 
 
+def test_counted_nodes_are_reached_without_pairs(spark, monkeypatch):
+    s, frames = stages_graph(spark, monkeypatch)
+    text = "MATCH p = shortestPath((a:A)-[*1..2]-(c:C)) RETURN a.k AS a, length(p) AS len, count(*) AS n"
+    monkeypatch.setattr(traverse, "MANY_SEEDS", 2)
+    monkeypatch.setattr(traverse, "MANY_EDGES", 7)
+    got = s.query(text).df
+    assert sorted(map(tuple, got.collect())) == [(0, 2, 2), (1, 2, 2)]
+    assert len(frames) == 1 and frames[0].count() == 2  # the seeds
+    assert "Generate" not in got._jdf.queryExecution().toString()  # no row for a pair that is only counted
+    assert s.query(text.replace("count(*)", "count(*) + 0.5")).rows() == [(0, 2, 2.5), (1, 2, 2.5)]
+    assert s.query("MATCH p = shortestPath((a:A)-[*1..2]-(c:C)) RETURN sum(length(p)) AS n, count(*) AS m").rows() == [(8, 4)]
+    assert s.query("MATCH p = shortestPath((a:A)-[*1..2]->(c:C)) WHERE length(p) = 1 RETURN count(*) AS n").rows() == [(0,)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_counted_nodes_by_arrays_as_by_rows(spark, seed, monkeypatch):
+    """Labels that a search meets at several depths, seeds of several labels, and relationships that are there twice."""
+    rnd = random.Random(seed)
+    ids = {label: range(100 * i, 100 * i + 8) for i, label in enumerate("ABCDE")}
+    pairs = {kind: [(rnd.choice(ids[kind[0]]), rnd.choice(ids[kind[1]])) for _ in range(12)] for kind in ("AB", "AC", "BC", "BD", "CD", "CE", "DE")}
+    tables = [RelTable(spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(some)], "id bigint, source bigint, target bigint"), kind, (kind[0],), (kind[1],)) for kind, some in pairs.items()]
+    graph = Graph(tuple(NodeTable(spark.range(r.start, r.stop).selectExpr("id", "id as k"), (label,)) for label, r in ids.items()), tuple(tables))
+    used, numbers = [], reach.numbers
+    monkeypatch.setattr(reach, "numbers", lambda *a: used.append(numbers(*a)) or used[-1])
+    for text, arrays in (
+        ("MATCH p = shortestPath((a)-[*1..4]->(e)) RETURN a.k AS a, length(p) AS len, count(*) AS n", True),
+        ("MATCH p = shortestPath((a:A|B)-[*1..3]->(e:D|E)) RETURN a.k AS a, length(p) AS len, count(*) AS n", True),
+        ("MATCH (a:A)-[*2..3]->(e) RETURN a.k AS a, count(*) AS n", True),
+        ("MATCH p = shortestPath((a:A)-[*1..3]-(e:D)) RETURN a.k AS a, length(p) AS len, count(*) AS n", False),
+    ):
+        monkeypatch.setattr(traverse, "MANY_SEEDS", 10**9)
+        want = sorted(GraphSession(spark, graph).query(text).rows())
+        monkeypatch.setattr(traverse, "MANY_SEEDS", 1)
+        monkeypatch.setattr(traverse, "MANY_EDGES", 1)
+        assert sorted(GraphSession(spark, graph).query(text).rows()) == want and len(want) > 5
+        assert (used.pop() is not None) == arrays and not used
+
+
+@pytest.mark.parametrize("steps", (1, 3, 1 << 20))
+def test_searches_some_seeds_at_a_time(steps, monkeypatch):
+    """Nodes 0 to 19 of label 1 lead to 30 of label 0, those to 30 of label 2, of which some are known by a shorter way."""
+    monkeypatch.setattr(reach, "STEPS", steps)
+    rnd = random.Random(steps)
+    links = {h: {v: {rnd.randrange(30) for _ in range(rnd.choice((0, 2, 90)))} for v in range(n)} for h, n in ((0, 20), (1, 30), (2, 20))}
+    flat = {h: (np.cumsum([0, *(len(some[v]) for v in sorted(some))]), np.array([t for v in sorted(some) for t in sorted(some[v])], np.int32)) for h, some in links.items()}
+    starts = [sorted({rnd.randrange(20) for _ in range(3)}) for _ in range(7)]
+    search = reach.Search([[(9, 3, 1)], [(0, 1, 0), (2, 1, 2)], [(1, 0, 2)]], flat, {0, 2}, 1, 7)
+    search.arrive({1: np.array([k << 32 | v for k, some in enumerate(starts) for v in some])}, {}, 1)
+    for k, some in enumerate(starts):
+        zero, two = (set().union(*(links[h][v] for v in some)) for h in (0, 2))
+        three = set().union(*(links[1][v] for v in zero)) - two
+        assert list(search.found[:, k]) == [0, 0, len(zero) + len(two), len(three)]
+
+
 def test_session_catalogs(spark):
     s = GraphSession(spark, make(spark, [(1, ["A"], "x", 1), (2, ["B"], "y", None)], [(1, 2, "R", 5)]), cached=2)
     for text in ("MATCH (n) RETURN n.name AS n", "MATCH (n:A) RETURN n.name AS n", "MATCH (n:B) RETURN n.name AS n"):
